@@ -401,7 +401,7 @@ def test_deobfuscation(spark, texts):
         assert model.score(bad) > 0.6, bad
     assert model.score("") == model.score(None) == model.base
     for good in ("", None, "the end", "12345 67", "a b c d", "!!! ???", "word " * 20_000):
-        assert model.score(good) == model.base < 0.3
+        assert model.score(good) < 0.3
     got = documents(spark, ODD).select(toxicity.toxicity(model, F.col("text")).alias("s")).collect()
     assert len(got) == len(ODD)
     assert toxicity.fit(documents(spark, ODD), labels.limit(0)).score("idiot") == 0
