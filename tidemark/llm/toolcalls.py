@@ -171,15 +171,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     both = calls.withColumn("called", F.lit(True)).join(got, ["conv_id", "call_id"], "full_outer")
     both = both.select("conv_id", "call_id", "turn", "name", "arguments", "needs", "result", "result_turn", F.coalesce("n_results", F.lit(0)).alias("n_results"), F.when(F.col("called").isNull(), "orphan").when(F.col("n_results").isNull(), "open").otherwise("linked").alias("status"))
     orphans = both.where("status = 'orphan'").select("conv_id", "call_id", "turn", "n_results", "result_turn", "status", F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("problem"), F.lit(None).cast("string").alias("canonical"), F.lit(None).cast("long").alias("place"))
-    done = _checked(both.where("status <> 'orphan'"), schemas).join(_levelled(calls), ["conv_id", "call_id"])
-    # a place in a conversation: runs of turns are counted first, so that one long conversation is not one task's sort
-    run = F.floor(F.coalesce("turn", F.lit(0)) / RUN)
-    order = ("turn", "call_id")
-    done = done.withColumn("run", run).withColumn("sort", F.coalesce("level", F.lit((1 << 31) - 1)))
-    before = done.groupBy("conv_id", "sort", "run").agg(F.count("*").alias("n"))
+    # places are found on identifiers alone, so that texts move once, to the join with their results
+    ids = calls.select("conv_id", "call_id", "turn").join(_levelled(calls), ["conv_id", "call_id"])
+    # runs of turns are counted first, so that one long conversation is not one task's sort
+    ids = ids.withColumn("run", F.floor(F.coalesce("turn", F.lit(0)) / RUN)).withColumn("sort", F.coalesce("level", F.lit((1 << 31) - 1)))
+    before = ids.groupBy("conv_id", "sort", "run").agg(F.count("*").alias("n"))
     before = before.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("sort", "run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    done = done.join(before, ["conv_id", "sort", "run"])
-    done = done.withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("conv_id", "sort", "run").orderBy(*order)))
+    placed = ids.join(before, ["conv_id", "sort", "run"]).withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("conv_id", "sort", "run").orderBy("turn", "call_id")))
+    done = _checked(both.where("status <> 'orphan'").join(placed.select("conv_id", "call_id", "level", "place"), ["conv_id", "call_id"]), schemas)
     columns = ("conv_id", "call_id", "turn", "level", "place", "status", "n_results", "result_turn", "problem", "canonical")
     return done.select(*columns).unionByName(orphans.select(*columns))
 
