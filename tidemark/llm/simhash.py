@@ -176,14 +176,93 @@ def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component: the one whose id names it, once. Documents without an id stay."""
-    found = cluster(docs, width=STAGE_WORDS)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__tidemark_id")).distinct()
-    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    kept = once.join(keep, F.col("doc_id") == F.col("__tidemark_id"), "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+#: Near copies of the stage: shingles of so many words, and the Jaccard similarity of their sets.
+STAGE_WORDS, SIMILARITY = 5, 0.8
+#: Parts of a text's shingles that have a fingerprint of their own, at each of two levels.
+PARTS = 24
+
+
+def part_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of the SimHash fingerprints of parts of a set of shingles (distinct hashes).
+
+    A shingle's hash says which of 2**level parts it is in, and parts below ``PARTS`` are used. The level gives parts
+    of up to six shingles, so that of two sets with a similarity of ``SIMILARITY`` some parts are equal: one part is,
+    with a probability of about 0.8**6, and 24 are tried. Two levels are used, so that sets whose sizes differ by a
+    quarter share one.
+    """
+    n = len(hashes)
+    if not n:
+        return np.zeros(1, np.int64)
+    level = int(np.log2(max(min(n, PARTS), n / 6)))
+    spread = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
+    out = []
+    for k in (level, level + 1):
+        part = spread & np.uint64((1 << k) - 1)
+        use = np.flatnonzero(part < PARTS)
+        use = use[np.argsort(part[use], kind="stable")]
+        part = part[use]
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+        if not len(part):
+            continue
+        bits = np.unpackbits(hashes[use].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
+        ones, sizes = np.add.reduceat(bits, starts), np.diff(np.append(starts, len(part)))
+        fps = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        out.append((fps ^ ((part[starts] + np.uint64(k * 64 + 1)) * np.uint64(0xC2B2AE3D27D4EB4F))).view(np.int64))
+    return np.concatenate([np.zeros(0, np.int64), *out])
+
+
+def _sketch(text: Column) -> Column:
+    @F.arrow_udf("struct<fp:long,n:int,keys:array<long>>")
+    def sketch(column: pa.Array) -> pa.Array:
+        out = []
+        for x in common.strings(column):
+            hashes = shingle_hashes(x, STAGE_WORDS)
+            distinct = np.unique(hashes)
+            out.append({"fp": majority(hashes), "n": len(distinct), "keys": part_keys(distinct)})
+        return pa.array(out, pa.struct([("fp", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))]))
+
+    return sketch(text)
+
+
+def _shingles(text: Column) -> Column:
+    @F.arrow_udf("array<long>")
+    def shingles(column: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes(x, STAGE_WORDS)).view(np.int64) for x in common.strings(column)], pa.list_(pa.int64()))
+
+    return shingles(text)
+
+
+def similar(docs: DataFrame, one: DataFrame) -> DataFrame:
+    """Links (a, b) between fingerprints of texts whose shingle sets are similar by ``SIMILARITY`` or more.
+
+    ``one``: fp, least (the id of a document that has it), n, keys. Texts with an equal part are compared with the
+    first and the last of them, not with all, so pairs grow with the number of texts; similar texts share several
+    parts. Pairs that sizes rule out go before texts are fetched.
+    """
+    parts = one.select("fp", "n", F.explode("keys").alias("key"))
+    ends = parts.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("lo"), F.max(F.struct("fp", "n")).alias("hi")).where("lo.fp <> hi.fp")
+    met = parts.join(ends, "key").select("fp", "n", F.explode(F.array("lo", "hi")).alias("hub"))
+    fits = F.least("n", "hub.n") >= F.lit(SIMILARITY) * F.greatest("n", "hub.n")
+    pairs = common.cut(met.where((F.col("hub.fp") != F.col("fp")) & fits).select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b")).distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(one.select("fp", "least"), "fp")
+    sets = common.cut(docs.select(F.col("doc_id").alias("least"), "text").join(ids, "least").select("fp", _shingles(F.col("text").cast("string")).alias("set")).dropDuplicates(["fp"]))
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= F.lit(SIMILARITY) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-#: Stages on word shingles take five words.
-STAGE_WORDS = 5
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group: the one of the least id, once. Documents without an id stay.
+
+    Texts are of a group if their fingerprints (of five-word shingles) link, by deletion variants as in
+    :func:`cluster`, or if their shingle sets are similar by 0.8: fingerprints of 64 bits of such texts differ by 4
+    to 14 bits, which is out of that index's reach, so these are found by fingerprints of parts, and verified.
+    """
+    known = docs.where("doc_id is not null")
+    rows = common.cut(known.select("doc_id", _sketch(F.col("text").cast("string")).alias("s")).select("doc_id", "s.*"))
+    one = common.cut(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "keys")).alias("r")).select("fp", F.col("r.doc_id").alias("least"), "r.n", "r.keys"))
+    labels = common.components(links(one).unionByName(similar(known, one)))
+    at = one.join(labels, one.fp == labels.node, "left").select("least", F.coalesce("label", "fp").alias("label"))
+    keep = at.groupBy("label").agg(F.min("least").alias("__tidemark_id")).select("__tidemark_id")
+    kept = known.join(keep, F.col("doc_id") == F.col("__tidemark_id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
