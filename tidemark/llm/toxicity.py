@@ -5,12 +5,14 @@ letter for one or two, and letters spelled one by one join to words. A Viterbi s
 likeliest under a trigram model of characters and the channel's costs. Only words that the channel can have
 made have more than one reading, so only they are searched. Raw and restored words are scored together.
 
-Learning is one pass over all documents. The character model counts every trigram of every text. The features
+The character model counts every trigram of every text. The features
 of labelled documents (words under 4
 characters, and the first 4 to 7 characters of others, by whether one word has them or more) are counted by label in how many documents
 they occur; a feature's weight is the lower end of the Wilson interval (``Z``) for the share of toxic ones among
 documents that have it, so that rare features need no separate cut. A text's score is its highest weight, and
-the base rate at least. Counts are pre-aggregated in each task. The model that goes to the executors is 2**18
+the base rate at least. Copies would make each word of a toxic text look toxic; so of labelled texts whose least
+shingle hash is the same one counts, and documents that have a feature of the highest weights are left out when
+the other features are counted, in a second pass over labelled documents. Counts are pre-aggregated in each task. The model that goes to the executors is 2**18
 floats and the features of a weight of ``LEAST`` or more, the heaviest ``MOST_FEATURES`` of them.
 
 Defined cases: null and empty texts get the base rate (at most ``MOST_BASE``). Labels that are null are not
@@ -31,12 +33,15 @@ from pyspark.sql import functions as F
 
 from . import common
 from .langid import letters
+from .simhash import shingle_hashes
 
 #: What signs may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 #: Cost of reading a sign as a letter, of a blank kept between spelled letters, and (a gain) of a doubled letter.
 SIGN_COST, BLANK_COST, DOUBLE_COST = 0.5, 1.0, -2.0
 Z, LEAST, MOST_BASE, THRESHOLD = 3.5, 0.15, 0.2, 0.3
+#: Features of this share of the highest weight explain their documents, which then say nothing of others.
+STRONG = 0.8
 #: Parameter of the classifier's size; features of less weight go first.
 MOST_FEATURES = 200_000
 PREFIXES = (4, 5, 6, 7)
@@ -215,14 +220,34 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Learn the character model from all rows, and weights from labelled rows that are not held out."""
     label = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).select(F.col("doc_id").alias("__of"), "toxic")
-    if labels.count() <= BROADCAST_LABELS:
-        label = F.broadcast(label)
-    known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    known = known.join(label, F.col("doc_id") == F.col("__of"), "left").select("text", F.when(~common.held_out(F.col("doc_id")), F.col("toxic")).alias("toxic"))
+    near = F.broadcast if labels.count() <= BROADCAST_LABELS else lambda x: x
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    same = F.col("doc_id") == F.col("__of")
+    learned = own.where(~common.held_out(F.col("doc_id"))).join(near(label), same).select("doc_id", "toxic", _least_shingle(F.col("text")).alias("sign"))
+    one = common.cut(learned.groupBy("sign", "toxic").agg(F.min("doc_id").alias("__of")).select("__of", "toxic"))
+    known = own.join(near(one), same, "left").select("text", "toxic")
+    first, base, grams = _counted(known, None)
+    lm = language_model(grams)
+    strong = {k: w for k, w in first.items() if w >= STRONG * max(first.values())}
+    rest, *_ = _counted(known.where("toxic is not null"), Model(lm, strong, 0.0))
+    return Model(lm, strong | {k: w for k, w in rest.items() if k not in strong}, min(MOST_BASE, base))
+
+
+def _least_shingle(text: Column) -> Column:
+    """A sign that copies of a text share, and most near copies."""
+
+    @F.arrow_udf("long")
+    def least(column: pa.Array) -> pa.Array:
+        return pa.array([int(h.min().view(np.int64)) if len(h := shingle_hashes(x, 5)) else 0 for x in common.strings(column)], pa.int64())
+
+    return least(text)
+
+
+def _counted(known: DataFrame, skip: Model | None) -> tuple[dict[str, float], float, np.ndarray]:
+    """Weights, base rate and trigram counts of rows (text, toxic or null), but for labelled ones that ``skip`` has a feature of."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, sums = np.zeros(_CLASSES**3, np.int64), {}
-        plain = Reader(np.zeros((_CLASSES,) * 3, np.float32))
 
         def rows(keys: list, gram: np.ndarray, toxic: list, n: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(gram, pa.int32()), pa.array(toxic, pa.int64()), pa.array(n, pa.int64())], ["feature", "gram", "toxic", "n"])
@@ -239,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 texts = part.column(0).to_pylist()
                 grams += trigram_counts(texts)
                 for value, toxic in zip(texts, part.column(1).to_pylist(), strict=True):
-                    if toxic is not None:
+                    if toxic is not None and not (skip and skip.score(value)):
                         for f in {"", *features(set(map(bare, set((value or "").lower().split()))))}:
                             if f in sums:
                                 sums[f][0] += toxic
@@ -263,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     grams = np.zeros(_CLASSES**3, np.int64)
     got = counts.where("feature is null").select("gram", "n").toArrow()
     grams[got.column("gram").to_numpy()] = got.column("n").to_numpy()
-    return Model(language_model(grams), weights, min(MOST_BASE, float(base[0])) if base else 0.0)
+    return weights, float(base[0]) if base else 0.0, grams
 
 
 def toxicity(model: Model, text: Column) -> Column:
