@@ -39,7 +39,7 @@ def canonical(value: Any) -> str:
 
 def _is(kind: str, x: Any) -> bool:
     number = isinstance(x, int | float) and not isinstance(x, bool)
-    return {"object": isinstance(x, dict), "array": isinstance(x, list), "string": isinstance(x, str), "boolean": isinstance(x, bool), "null": x is None, "number": number, "integer": number and float(x).is_integer()}.get(kind, False)
+    return {"object": isinstance(x, dict), "array": isinstance(x, list), "string": isinstance(x, str), "boolean": isinstance(x, bool), "null": x is None, "number": number, "integer": number and (isinstance(x, int) or x.is_integer())}.get(kind, False)
 
 
 def problem(schema: dict, x: Any, at: str = "$") -> str | None:
@@ -113,7 +113,7 @@ def _checked(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                     except (ValueError, RecursionError):
                         result = x["result"]
                     faults.append(fault)
-                    texts.append(canonical({"arguments": arguments, "id": x["call_id"], "name": x["name"], "needs": sorted(x["needs"] or []), "result": result}))
+                    texts.append(canonical({"arguments": arguments, "id": x["call_id"], "name": x["name"], "needs": sorted(y for y in x["needs"] or [] if y is not None), "result": result}))
                 keep = part.drop_columns(["arguments", "result"])
                 yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(faults, pa.string()), pa.array(texts, pa.string())], [*keep.schema.names, "problem", "canonical"])
 
