@@ -232,25 +232,54 @@ def _shingles(text: Column) -> Column:
     return shingles(text)
 
 
-def similar(docs: DataFrame, one: DataFrame) -> DataFrame:
-    """Links (a, b) between fingerprints of texts whose shingle sets are similar by ``SIMILARITY`` or more.
+def _meeting(one: DataFrame) -> DataFrame:
+    """(key, fp, n): the parts that at least two texts have. Keys alone are counted first, as nearly all have one text."""
+    parts = one.select("fp", "n", F.explode("keys").alias("key"))
+    shared = common.cut(parts.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key"))
+    return common.cut(parts.join(shared, "key").select("key", "fp", "n"))
+
+
+def _candidates(met: DataFrame, labels: DataFrame, number: int) -> DataFrame:
+    """Pairs (a, b) of texts of different components: under each key, one text of its largest component with all of the others.
 
-    ``one``: fp, least (the id of a document that has it), n, keys. Texts with an equal part are compared with the
-    first and the last of them, not with all, so pairs grow with the number of texts; similar texts share several
-    parts. Pairs that sizes rule out go before texts are fetched.
+    The text is the least fingerprint in the first round, so that it is the same under most keys of a group, and
+    drawn for each key in later ones. Pairs that sizes rule out are left out.
     """
-    parts = one.select("fp", "n", F.explode("keys").alias("key"))
-    ends = parts.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("lo"), F.max(F.struct("fp", "n")).alias("hi")).where("lo.fp <> hi.fp")
-    met = parts.join(ends, "key").select("fp", "n", F.explode(F.array("lo", "hi")).alias("hub"))
-    fits = F.least("n", "hub.n") >= F.lit(SIMILARITY) * F.greatest("n", "hub.n")
-    pairs = common.cut(met.where((F.col("hub.fp") != F.col("fp")) & fits).select(F.least("fp", "hub.fp").alias("a"), F.greatest("fp", "hub.fp").alias("b")).distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(one.select("fp", "least"), "fp")
+    mine = met.join(labels, met.fp == labels.node, "left").select("key", "fp", "n", F.coalesce("label", "fp").alias("label"))
+    draw = F.xxhash64("key", "fp", F.lit(number)) if number else F.col("fp")
+    per = mine.groupBy("key", "label").agg(F.count("*").alias("texts"), F.min(F.struct(draw.alias("draw"), "fp", "n")).alias("hub"))
+    hubs = per.groupBy("key").agg(F.max(F.struct("texts", "label", "hub")).alias("h"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("h.label").alias("of"), F.col("h.hub.fp").alias("hub"), F.col("h.hub.n").alias("hub_n"))
+    fits = F.least("n", "hub_n") >= F.lit(SIMILARITY) * F.greatest("n", "hub_n")
+    return mine.join(hubs, "key").where((F.col("label") != F.col("of")) & fits).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
+
+
+def _verified(docs: DataFrame, one: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets are similar by ``SIMILARITY`` or more."""
+    ids = common.cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(one.select("fp", "least"), "fp"))
     sets = common.cut(docs.select(F.col("doc_id").alias("least"), "text").join(ids, "least").select("fp", _shingles(F.col("text").cast("string")).alias("set")).dropDuplicates(["fp"]))
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= F.lit(SIMILARITY) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def groups(docs: DataFrame, one: DataFrame) -> DataFrame:
+    """Components (node, label) of texts under equal fingerprints' links and similarity of shingle sets.
+
+    ``one``: fp, least (the id of a document that has it), n, keys. Texts that share a part meet in rounds, in each
+    of which only texts of different components are compared, and under each key with one text, so that pairs grow
+    with the number of texts and not with the square of a group. Rounds end when one finds no link.
+    """
+    near = common.cut(links(one))
+    labels, met, number = common.cut(common.components(near)), _meeting(one), 0
+    while True:
+        pairs = common.cut(_candidates(met, labels, number))
+        found = common.cut(_verified(docs, one, pairs))
+        if not found.limit(1).count():
+            return labels
+        near = near.unionByName(found)
+        labels, number = common.cut(common.components(near)), number + 1
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: the one of the least id, once. Documents without an id stay.
 
@@ -261,7 +290,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = docs.where("doc_id is not null")
     rows = common.cut(known.select("doc_id", _sketch(F.col("text").cast("string")).alias("s")).select("doc_id", "s.*"))
     one = common.cut(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "keys")).alias("r")).select("fp", F.col("r.doc_id").alias("least"), "r.n", "r.keys"))
-    labels = common.components(links(one).unionByName(similar(known, one)))
+    labels = groups(known, one)
     at = one.join(labels, one.fp == labels.node, "left").select("least", F.coalesce("label", "fp").alias("label"))
     keep = at.groupBy("label").agg(F.min("least").alias("__tidemark_id")).select("__tidemark_id")
     kept = known.join(keep, F.col("doc_id") == F.col("__tidemark_id"), "left_semi").dropDuplicates(["doc_id"])
