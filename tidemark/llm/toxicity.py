@@ -5,12 +5,11 @@ letter for one or two, and letters spelled one by one join to words. A Viterbi s
 likeliest under a trigram model of characters and the channel's costs. Only words that the channel can have
 made have more than one reading, so only they are searched. Raw and restored words are scored together.
 
-The character model counts every trigram of every text. The features
-of labelled documents (words under 4
-characters, and the first 4 to 7 characters of others, by whether one word has them or more) are counted by label in how many documents
-they occur; a feature's weight is the lower end of the Wilson interval (``Z``) for the share of toxic ones among
-documents that have it, so that rare features need no separate cut. A text's score is its highest weight, and
-the base rate at least. Copies would make each word of a toxic text look toxic; so of labelled texts whose least
+The character model counts every trigram of every text. The features of labelled documents (words under 4
+characters, and the first 4 to 7 characters of others, by whether one word has them or more) are counted by label
+in how many documents they occur; a feature's weight is the lower end of the Wilson interval (``Z``) for the share
+of toxic ones among documents that have it, so that rare features need no separate cut. A text's score is its
+highest weight, and the base rate at least. Copies would make each word of a toxic text look toxic; so of labelled texts whose least
 shingle hash is the same one counts, and documents that have a feature of the highest weights are left out when
 the other features are counted, in a second pass over labelled documents. Counts are pre-aggregated in each task. The model that goes to the executors is 2**18
 floats and the features of a weight of ``LEAST`` or more, the heaviest ``MOST_FEATURES`` of them.
