@@ -423,3 +423,13 @@ def test_viterbi_is_exhaustive():
                 x, y = y, z
             best.append((total, said))
         assert toxicity.viterbi(places, lm) == min(best)[1]
+
+
+def test_tool_calls_with_null_needs_and_huge_numbers(spark):
+    rows = [(1, "a", 1, "t", "1" + "0" * 400, None), (1, "b", 2, "t", "2", ["a", None])]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, name string, arguments string, needs array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, result string")
+    got = {r.call_id: r for r in toolcalls.link(calls, results, {"t": {"type": "integer"}}).collect()}
+    assert got["a"].problem is None and got["b"].problem is None
+    assert (got["a"].place, got["b"].place) == (1, 2)
+    assert '"needs":["a"]' in got["b"].canonical
