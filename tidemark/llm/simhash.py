@@ -180,6 +180,8 @@ def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 STAGE_WORDS, SIMILARITY = 5, 0.8
 #: Parts of a text's shingles that have a fingerprint of their own, at each of two levels.
 PARTS = 24
+#: Texts under a key that others are compared with in a round, from the second round on.
+SLOTS = 8
 
 
 def part_keys(hashes: np.ndarray) -> np.ndarray:
@@ -239,18 +241,26 @@ def _meeting(one: DataFrame) -> DataFrame:
     return common.cut(parts.join(shared, "key").select("key", "fp", "n"))
 
 
-def _candidates(met: DataFrame, labels: DataFrame, number: int) -> DataFrame:
-    """Pairs (a, b) of texts of different components: under each key, one text of its largest component with all of the others.
+def _candidates(met: DataFrame, labels: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+    """The parts that texts of different components still have, and pairs (a, b, of_a, of_b) of such texts and their components.
 
-    The text is the least fingerprint in the first round, so that it is the same under most keys of a group, and
-    drawn for each key in later ones. Pairs that sizes rule out are left out.
+    Under each key one text of its largest component is paired with all texts of the others. The text is the least
+    fingerprint in the first round, so that it is the same under most keys of a group. In later rounds texts are
+    drawn for each key, and a text of the largest component in each of ``SLOTS`` classes of components is paired.
+    Pairs that sizes rule out are left out. Components only grow, so a key of one component is done.
     """
     mine = met.join(labels, met.fp == labels.node, "left").select("key", "fp", "n", F.coalesce("label", "fp").alias("label"))
     draw = F.xxhash64("key", "fp", F.lit(number)) if number else F.col("fp")
     per = mine.groupBy("key", "label").agg(F.count("*").alias("texts"), F.min(F.struct(draw.alias("draw"), "fp", "n")).alias("hub"))
-    hubs = per.groupBy("key").agg(F.max(F.struct("texts", "label", "hub")).alias("h"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("h.label").alias("of"), F.col("h.hub.fp").alias("hub"), F.col("h.hub.n").alias("hub_n"))
+    largest = [F.max(F.when(F.pmod(F.xxhash64("label", F.lit(number)), F.lit(SLOTS)) == k, F.struct("texts", "label", "hub"))) for k in range(SLOTS)] if number else [F.max(F.struct("texts", "label", "hub"))]
+    hubs = per.groupBy("key").agg(F.array_compact(F.array(*largest)).alias("hubs"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "hubs")
+    left = common.cut(mine.join(hubs, "key"))
+    met = left.select("key", "fp", "n")
+    left = left.select("fp", "n", "label", F.explode("hubs").alias("h")).select("fp", "n", "label", F.col("h.label").alias("of"), F.col("h.hub.fp").alias("hub"), F.col("h.hub.n").alias("hub_n"))
     fits = F.least("n", "hub_n") >= F.lit(SIMILARITY) * F.greatest("n", "hub_n")
-    return mine.join(hubs, "key").where((F.col("label") != F.col("of")) & fits).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
+    ordered = [F.when(F.col("fp") < F.col("hub"), F.col(x)).otherwise(F.col(y)) for x, y in (("fp", "hub"), ("hub", "fp"), ("label", "of"), ("of", "label"))]
+    pairs = left.where((F.col("label") != F.col("of")) & fits).select(*(c.alias(x) for c, x in zip(ordered, ("a", "b", "of_a", "of_b"), strict=True))).distinct()
+    return met, pairs
 
 
 def _verified(docs: DataFrame, one: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -259,7 +269,7 @@ def _verified(docs: DataFrame, one: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = common.cut(docs.select(F.col("doc_id").alias("least"), "text").join(ids, "least").select("fp", _shingles(F.col("text").cast("string")).alias("set")).dropDuplicates(["fp"]))
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= F.lit(SIMILARITY) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return both.where(shared >= F.lit(SIMILARITY) * (F.size("x") + F.size("y") - shared)).select(*pairs.columns)
 
 
 def groups(docs: DataFrame, one: DataFrame) -> DataFrame:
@@ -269,15 +279,17 @@ def groups(docs: DataFrame, one: DataFrame) -> DataFrame:
     of which only texts of different components are compared, and under each key with one text, so that pairs grow
     with the number of texts and not with the square of a group. Rounds end when one finds no link.
     """
-    near = common.cut(links(one))
-    labels, met, number = common.cut(common.components(near)), _meeting(one), 0
+    labels, met, number = common.cut(common.components(links(one))), _meeting(one), 0
     while True:
-        pairs = common.cut(_candidates(met, labels, number))
-        found = common.cut(_verified(docs, one, pairs))
+        met, pairs = _candidates(met, labels, number)
+        found = common.cut(_verified(docs, one, common.cut(pairs)).select("of_a", "of_b").distinct())
         if not found.limit(1).count():
             return labels
-        near = near.unionByName(found)
-        labels, number = common.cut(common.components(near)), number + 1
+        # components are joined as wholes; the smallest node of one, or a text without a link, is no node of labels
+        joined = common.cut(common.components(found, "of_a", "of_b"))
+        to = joined.select(F.col("node").alias("of"), F.col("label").alias("to"))
+        labels = common.cut(labels.join(to, labels.label == to.of, "left").select("node", F.coalesce("to", "label").alias("label")).unionByName(joined))
+        number += 1
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
