@@ -42,7 +42,25 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     written(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+def discard(since: int, *keep: DataFrame) -> None:
+    """Delete the tables of :func:`cut` but for the first ``since`` and those in ``keep``; no frame may read them any more."""
+    stay = {x._tidemark_path for x in keep}
+    late = [x for x in _written[since:] if x[1] not in stay]
+    _written[since:] = [x for x in _written[since:] if x[1] in stay]
+    for spark, path in late:
+        _delete(spark, path)
+    for spark in {id(x): x for x, _ in late}.values():
+        spark.sparkContext._jvm.System.gc()  # Spark removes the shuffle files of plans that are collected
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def written(spark: SparkSession, path: str) -> None:
@@ -50,14 +68,18 @@ def written(spark: SparkSession, path: str) -> None:
     _written.append((spark, path))
 
 
+def tables() -> int:
+    """How many tables of :func:`cut` there are."""
+    return len(_written)
+
+
 def release(keep: int = 0) -> None:
     """Delete the tables of :func:`cut`, but for the last ``keep``."""
     while len(_written) > keep:
         spark, path = _written.pop(0)
         if spark.sparkContext._jsc is None:
             continue
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
 
 
 @atexit.register

@@ -249,14 +249,15 @@ def _candidates(met: DataFrame, labels: DataFrame, number: int) -> tuple[DataFra
     drawn for each key, and a text of the largest component in each of ``SLOTS`` classes of components is paired.
     Pairs that sizes rule out are left out. Components only grow, so a key of one component is done.
     """
+    met = met.select("key", "fp", "n")
     mine = met.join(labels, met.fp == labels.node, "left").select("key", "fp", "n", F.coalesce("label", "fp").alias("label"))
     draw = F.xxhash64("key", "fp", F.lit(number)) if number else F.col("fp")
     per = mine.groupBy("key", "label").agg(F.count("*").alias("texts"), F.min(F.struct(draw.alias("draw"), "fp", "n")).alias("hub"))
     largest = [F.max(F.when(F.pmod(F.xxhash64("label", F.lit(number)), F.lit(SLOTS)) == k, F.struct("texts", "label", "hub"))) for k in range(SLOTS)] if number else [F.max(F.struct("texts", "label", "hub"))]
     hubs = per.groupBy("key").agg(F.array_compact(F.array(*largest)).alias("hubs"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "hubs")
-    left = common.cut(mine.join(hubs, "key"))
-    met = left.select("key", "fp", "n")
-    left = left.select("fp", "n", "label", F.explode("hubs").alias("h")).select("fp", "n", "label", F.col("h.label").alias("of"), F.col("h.hub.fp").alias("hub"), F.col("h.hub.n").alias("hub_n"))
+    hubs = common.cut(hubs)
+    met = common.cut(mine.join(hubs.select("key"), "key", "left_semi"))
+    left = met.join(hubs, "key").select("fp", "n", "label", F.explode("hubs").alias("h")).select("fp", "n", "label", F.col("h.label").alias("of"), F.col("h.hub.fp").alias("hub"), F.col("h.hub.n").alias("hub_n"))
     fits = F.least("n", "hub_n") >= F.lit(SIMILARITY) * F.greatest("n", "hub_n")
     ordered = [F.when(F.col("fp") < F.col("hub"), F.col(x)).otherwise(F.col(y)) for x, y in (("fp", "hub"), ("hub", "fp"), ("label", "of"), ("of", "label"))]
     pairs = left.where((F.col("label") != F.col("of")) & fits).select(*(c.alias(x) for c, x in zip(ordered, ("a", "b", "of_a", "of_b"), strict=True))).distinct()
@@ -279,8 +280,10 @@ def groups(docs: DataFrame, one: DataFrame) -> DataFrame:
     of which only texts of different components are compared, and under each key with one text, so that pairs grow
     with the number of texts and not with the square of a group. Rounds end when one finds no link.
     """
+    since = common.tables()
     labels, met, number = common.cut(common.components(links(one))), _meeting(one), 0
     while True:
+        common.discard(since, labels, met)
         met, pairs = _candidates(met, labels, number)
         found = common.cut(_verified(docs, one, common.cut(pairs)).select("of_a", "of_b").distinct())
         if not found.limit(1).count():
