@@ -69,6 +69,15 @@ _LOG = """WITH log AS (SELECT CAST(user_id AS VARCHAR) AS record_id, event_id +
 _AT = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY commit_version DESC) AS rn FROM log WHERE commit_version <= {0}) WHERE rn = 1)"
 _SNAP = _LOG + f", s AS (SELECT * FROM {_AT.format(LATE)} WHERE NOT deleted) "
 _COLS = "record_id, commit_version, event_type, value, k"
+#: The same of the whole log, whatever its length; and versions that are so many tenths of its newest.
+_NEWEST = _LOG + f", s AS (SELECT * FROM {_AT.format('(SELECT max(commit_version) FROM log)')} WHERE NOT deleted) "
+_TENTHS = "(SELECT max(commit_version) * {0} // 10 FROM log)"
+EARLY_TENTHS, LATE_TENTHS = 3, 7
+
+
+def _tenths(log: DataFrame, *tenths: int) -> list[int]:
+    newest = snap.global_version(log).first().version or 0
+    return [newest * x // 10 for x in tenths]
 
 
 @_query(_SNAP + f"SELECT {_COLS} FROM s")
@@ -76,11 +85,27 @@ def snapshot_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(snap.snapshot(event_log(spark, sf_dir), LATE))
 
 
+@_query(_NEWEST + f"SELECT {_COLS} FROM s")
+def snapshot_read_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(snap.snapshot(event_log(spark, sf_dir)))
+
+
+@_query(_LOG + f", s AS (SELECT * FROM {_AT.format(_TENTHS.format(LATE_TENTHS))} WHERE NOT deleted) SELECT {_COLS} FROM s")
+def snapshot_read_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = event_log(spark, sf_dir)
+    return _plain(snap.snapshot(log, *_tenths(log, LATE_TENTHS)))
+
+
 @_query(_LOG + f" SELECT record_id, commit_version, deleted FROM {_AT.format(LATE)}")
 def snapshot_include_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snap.snapshot(event_log(spark, sf_dir), LATE, include_deleted=True).select("record_id", "commit_version", "deleted")
 
 
+@_query(_LOG + " SELECT record_id, max(commit_version) AS commit_version, arg_max(deleted, commit_version) AS deleted FROM log GROUP BY record_id")
+def snapshot_include_deleted_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snap.snapshot(event_log(spark, sf_dir), include_deleted=True).select("record_id", "commit_version", "deleted")
+
+
 @_query(_LOG + " SELECT record_id, max(commit_version) AS commit_version, arg_max(event_type, commit_version) AS event_type FROM log GROUP BY record_id HAVING NOT arg_max(deleted, commit_version)")
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(snap.snapshot(event_log(spark, sf_dir))).select("record_id", "commit_version", "event_type")
@@ -91,24 +116,42 @@ def point_get_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(snap.get(event_log(spark, sf_dir), "8", LATE))
 
 
-@_query(
-    _LOG
-    + f", a AS (SELECT * FROM {_AT.format(EARLY)} WHERE NOT deleted), b AS (SELECT * FROM {_AT.format(LATE)} WHERE NOT deleted) "
-    + "SELECT coalesce(a.record_id, b.record_id) AS record_id, a.value AS value_before, b.value AS value_after, CASE WHEN a.record_id IS NULL THEN 'added' WHEN b.record_id IS NULL THEN 'removed' ELSE 'changed' END AS change "
-    + "FROM a FULL OUTER JOIN b ON a.record_id = b.record_id WHERE a.commit_version IS DISTINCT FROM b.commit_version AND (a.event_type, a.value, a.k, a.event_id % 3) IS DISTINCT FROM (b.event_type, b.value, b.k, b.event_id % 3)"
-)
-def diff_added_removed_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = snap.diff(event_log(spark, sf_dir), EARLY, LATE)
+def _diff_sql(early: int | str, late: int | str) -> str:
+    return (
+        _LOG
+        + f", a AS (SELECT * FROM {_AT.format(early)} WHERE NOT deleted), b AS (SELECT * FROM {_AT.format(late)} WHERE NOT deleted) "
+        + "SELECT coalesce(a.record_id, b.record_id) AS record_id, a.value AS value_before, b.value AS value_after, CASE WHEN a.record_id IS NULL THEN 'added' WHEN b.record_id IS NULL THEN 'removed' ELSE 'changed' END AS change "
+        + "FROM a FULL OUTER JOIN b ON a.record_id = b.record_id WHERE a.commit_version IS DISTINCT FROM b.commit_version AND (a.event_type, a.value, a.k, a.event_id % 3) IS DISTINCT FROM (b.event_type, b.value, b.k, b.event_id % 3)"
+    )
+
+
+def _diff(log: DataFrame, early: int, late: int) -> DataFrame:
+    d = snap.diff(log, early, late)
     value = lambda c: F.try_variant_get(jsonexpr.document(F.col(c)), "$.value", "double")
     return d.select("record_id", value("before").alias("value_before"), value("after").alias("value_after"), F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("changed").alias("change"))
 
 
+@_query(_diff_sql(EARLY, LATE))
+def diff_added_removed_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _diff(event_log(spark, sf_dir), EARLY, LATE)
+
+
+@_query(_diff_sql(_TENTHS.format(EARLY_TENTHS), _TENTHS.format(10)))
+def diff_share_to_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = event_log(spark, sf_dir)
+    return _diff(log, *_tenths(log, EARLY_TENTHS, 10))
+
+
 def _filtered(name: str, where: str, *filters: Filter) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _plain(Query(filters).matching(snap.snapshot(event_log(spark, sf_dir), LATE, include_deleted=True)))
 
-    run.__name__ = name
+    def newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _plain(Query(filters).matching(snap.snapshot(event_log(spark, sf_dir), include_deleted=True)))
+
+    run.__name__, newest.__name__ = name, f"{name}_newest"
     _query(_SNAP + f"SELECT {_COLS} FROM s WHERE {where}")(run)
+    _query(_NEWEST + f"SELECT {_COLS} FROM s WHERE {where}")(newest)
 
 
 _filtered("filter_eq_string", "event_type = 'view'", Filter("eq", "event_type", "view"))
@@ -133,8 +176,12 @@ def _page(name: str, sql: str, query: Query) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _plain(query.run(snap.snapshot(event_log(spark, sf_dir), LATE, include_deleted=True)))
 
-    run.__name__ = name
+    def newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _plain(query.run(snap.snapshot(event_log(spark, sf_dir), include_deleted=True)))
+
+    run.__name__, newest.__name__ = name, f"{name}_newest"
     _query(_SNAP + f"SELECT {_COLS} FROM s {sql}")(run)
+    _query(_NEWEST + f"SELECT {_COLS} FROM s {sql}")(newest)
 
 
 _page("order_page_asc", "ORDER BY value, record_id LIMIT 20 OFFSET 5", Query(order_by=OrderBy("value"), limit=20, offset=5))
@@ -149,6 +196,12 @@ def total_before_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.agg(F.count("*").alias("total_matched"), F.count_if(Filter("gt", "value", 50).column(F.col("body"))).alias("filtered_count"))
 
 
+@_query(_NEWEST + "SELECT count(*) AS total_matched, count(*) FILTER (value > 50) AS filtered_count FROM s")
+def total_before_filter_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = snap.snapshot(event_log(spark, sf_dir))
+    return seen.agg(F.count("*").alias("total_matched"), F.count_if(Filter("gt", "value", 50).column(F.col("body"))).alias("filtered_count"))
+
+
 _LEAD = _LOG + ", l AS (SELECT *, lead(commit_version) OVER (PARTITION BY record_id ORDER BY commit_version) AS nx FROM log) "
 
 
@@ -196,6 +249,13 @@ def batch_last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(snap.snapshot(event_log(spark, sf_dir, 10), 300)).select("record_id", "commit_version", "event_type", "value")
 
 
+@_query(
+    "SELECT CAST(user_id AS VARCHAR) AS record_id, event_id // 10 + 1 AS commit_version, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'"
+)
+def batch_last_write_wins_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(snap.snapshot(event_log(spark, sf_dir, 10))).select("record_id", "commit_version", "event_type", "value")
+
+
 @_query(_LOG + f" SELECT DISTINCT s.record_id, n.newest FROM (SELECT DISTINCT record_id FROM log WHERE commit_version > {LATE}) s JOIN (SELECT record_id, max(commit_version) AS newest FROM log GROUP BY record_id) n USING (record_id) WHERE n.newest > {LATE}")
 def ww_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
@@ -275,12 +335,20 @@ def schema_first_fault(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", jsonschema.first_fault(ORDER_SCHEMA, F.col("body"))["path"].alias("fault_path"))
 
 
+def _schema_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("lang is not null")
+    return d.select(F.lit("shop").alias("space"), F.lit("_schema").alias("table_name"), F.concat(F.col("lang"), F.lit("/v"), (F.floor(F.col("doc_id") / 100) + 1).cast("string"), F.lit(".json")).alias("record_id"), F.col("doc_id").alias("commit_version"), F.lit(0).alias("seq"), F.lit(False).alias("deleted"), F.lit("{}").alias("body"), F.lit(0).alias("schema_version"))
+
+
 @_query("SELECT lang AS name, max(doc_id // 100 + 1) FILTER (doc_id <= 600) AS version FROM documents WHERE doc_id <= 600 AND lang IS NOT NULL GROUP BY lang")
 def schema_version_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as schema versions: a language is a name, and every hundredth id begins a version of each."""
-    d = table(spark, sf_dir, "documents").where("lang is not null")
-    log = d.select(F.lit("shop").alias("space"), F.lit("_schema").alias("table_name"), F.concat(F.col("lang"), F.lit("/v"), (F.floor(F.col("doc_id") / 100) + 1).cast("string"), F.lit(".json")).alias("record_id"), F.col("doc_id").alias("commit_version"), F.lit(0).alias("seq"), F.lit(False).alias("deleted"), F.lit("{}").alias("body"), F.lit(0).alias("schema_version"))
-    return registry.latest(log, 600).select("name", F.col("version").cast("long").alias("version"))
+    return registry.latest(_schema_log(spark, sf_dir), 600).select("name", F.col("version").cast("long").alias("version"))
+
+
+@_query("SELECT lang AS name, max(doc_id // 100 + 1) AS version FROM documents WHERE doc_id IS NOT NULL AND lang IS NOT NULL GROUP BY lang")
+def schema_version_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.latest(_schema_log(spark, sf_dir)).select("name", F.col("version").cast("long").alias("version"))
 
 
 @_query("SELECT 't' || user_id AS txn_id, epoch_us(max(ts)) // 1000 AS heartbeat_ms FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error' AND epoch_us(max(ts)) // 1000 < (SELECT epoch_us(max(ts)) // 1000 FROM events) - 60000")
