@@ -407,6 +407,19 @@ def test_deobfuscation(spark, texts):
     assert toxicity.fit(documents(spark, ODD), labels.limit(0)).score("idiot") == 0
 
 
+def test_signs_at_the_ends_of_words(spark, texts):
+    docs = [(i, "you are an idiot and a stupid loser" if i % 5 == 0 else "the end of all that was here", "en", "a") for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(documents(spark, docs + texts + ODD), labels)
+    for bad in ("so $tupid", "an !diot.", "($tupid)", "a |oser", "$7upid", "idiot!", "(idiot)", "(1d10t)", "$tupid and stupid!", "@n !diot, $tupid"):
+        assert model.score(bad) > 0.6, bad
+    for good in ("the end!", "(the end)", "$100 + $5", "!$@ +", "here! (all)", "", None):
+        assert model.score(good) < 0.3, good
+    first, second, _ = toxicity.Reader(model.lm).words("a $tupid idiot!")
+    assert {"tupid", "idiot"} <= first and "stupid" in second and "idiot" not in second
+    assert toxicity.Reader(model.lm).words("no sign, at all.") == [{"no", "sign", "at", "all"}]
+
+
 def test_viterbi_is_exhaustive():
     rng = np.random.default_rng(12)
     lm = np.log(rng.dirichlet(np.ones(64), size=(64, 64))).astype(np.float32)

@@ -3,7 +3,9 @@
 Words written to evade a filter become character lattices: a digit or sign may stand for letters, a run of one
 letter for one or two, and letters spelled one by one join to words. A Viterbi search finds the reading that is
 likeliest under a trigram model of characters and the channel's costs. Only words that the channel can have
-made have more than one reading, so only they are searched. Raw and restored words are scored together.
+made have more than one reading, so only they are searched. Raw and restored words are scored together. Signs at
+the ends of a word may be punctuation or letters: such a text is read without them, with all of them, and with those
+that the search keeps, and the highest score counts.
 
 The character model counts every trigram of every text. The features of labelled documents (words under 4
 characters, and the first 4 to 7 characters of others, by whether one word has them or more) are counted by label
@@ -36,8 +38,8 @@ from .simhash import shingle_hashes
 
 #: What signs may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
-#: Cost of reading a sign as a letter, of a blank kept between spelled letters, and (a gain) of a doubled letter.
-SIGN_COST, BLANK_COST, DOUBLE_COST = 0.5, 1.0, -2.0
+#: Cost of reading a sign as a letter, of a blank kept between spelled letters, (a gain) of a doubled letter, and of leaving out a sign at an end.
+SIGN_COST, BLANK_COST, DOUBLE_COST, END_COST = 0.5, 1.0, -2.0, 3.0
 Z, LEAST, MOST_BASE, THRESHOLD = 3.5, 0.15, 0.2, 0.3
 #: Features of this share of the highest weight explain their documents, which then say nothing of others.
 STRONG = 0.8
@@ -50,6 +52,8 @@ BROADCAST_LABELS = 2_000_000
 HELD = 150_000
 
 _EDGE = string.punctuation + "…“”„«»¿–—·•"
+#: Signs at the ends of words that are never letters.
+_PLAIN = "".join(c for c in _EDGE if c not in SIGNS)
 _RUN = re.compile(r"([^\W\d_])\1\1+")
 _CLASSES = 64
 _classes: np.ndarray | None = None
@@ -85,10 +89,11 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log(0.8 * part(tri) + 0.15 * part(bi)[None] + 0.05 * (0.99 * part(uni) + 0.01 / _CLASSES)[None, None]).astype(np.float32)
 
 
-def lattice(word: str, spelled: bool = False) -> list[list[tuple[str, float]]]:
-    """For each place of an obfuscated word, what it may stand for, and the cost."""
+def lattice(word: str, spelled: bool = False, loose: bool = False) -> list[list[tuple[str, float]]]:
+    """For each place of an obfuscated word, what it may stand for, and the cost; ``loose``: signs at its ends may be left out."""
     out: list[list[tuple[str, float]]] = []
     at = 0
+    first, last = (len(word) - len(word.lstrip(_EDGE)), len(word.rstrip(_EDGE))) if loose else (0, len(word))
     while at < len(word):
         c, n = word[at], 1
         while at + n < len(word) and word[at + n] == c:
@@ -96,6 +101,8 @@ def lattice(word: str, spelled: bool = False) -> list[list[tuple[str, float]]]:
         at += n
         if c in SIGNS:
             out.append([(x * k, SIGN_COST * n + DOUBLE_COST * (k > 1) * (n > 2)) for x in SIGNS[c] for k in ((n,) if n < 3 else (1, 2))])
+            if at <= first or at > last:
+                out[-1].append(("", END_COST))
         elif not c.isalpha():
             out.append([("", 0.0), (" ", BLANK_COST)] if spelled or c.isspace() else [("", 0.0)])
         else:
@@ -126,21 +133,29 @@ def bare(word: str) -> str:
     return word if word.isalpha() else word.strip(_EDGE)
 
 
-def suspects(low: str, tokens: list[str]) -> Iterator[tuple[str, bool]]:
-    """Words of a lower-cased text that the channel can have made: (word, whether spelled letter by letter)."""
+def ended(word: str) -> str | None:
+    """The word with the signs at its ends that may be letters, if it has such signs and a letter."""
+    if word.isalpha():
+        return None
+    out = word.strip(_PLAIN)
+    return out if out and (out[0] in _EDGE or out[-1] in _EDGE) and any(map(str.isalpha, out)) else None
+
+
+def suspects(low: str, tokens: list[str]) -> Iterator[tuple[str, bool, bool]]:
+    """Words of a lower-cased text that the channel can have made, whatever signs at their ends are.
+
+    (word, whether spelled letter by letter, whether of a word with signs at its ends that may be letters)
+    """
     codes = np.frombuffer(low.encode("utf-32-le", "replace"), np.uint32)
     runs = bool(len(codes) > 2 and ((codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2]) & letters()[codes[2:]]).any())
     for w in set(tokens):
         if w.isalpha():
             if runs and len(w) > 2 and _RUN.search(w):
-                yield w, False
+                yield w, False, False
         else:
-            edge = w.strip(".,;:?\"'")
             inner = bare(w)
-            if not inner.isalpha() and any(map(str.isalpha, inner)):
-                yield edge if not edge.isalpha() else inner, False
-            elif runs and _RUN.search(inner):
-                yield inner, False
+            if not inner.isalpha() and any(map(str.isalpha, inner)) or runs and _RUN.search(inner):
+                yield inner, False, ended(w) is not None
     single = [len(w) == 1 or len(w) == 2 and not w.isalnum() for w in tokens]
     start = None
     for i, one in enumerate([*single, False]):
@@ -148,7 +163,7 @@ def suspects(low: str, tokens: list[str]) -> Iterator[tuple[str, bool]]:
             start = i
         elif not one and start is not None:
             if i - start >= 3:
-                yield " ".join(tokens[start:i]), True
+                yield " ".join(tokens[start:i]), True, False
             start = None
 
 
@@ -158,24 +173,30 @@ class Reader:
     def __init__(self, lm: np.ndarray) -> None:
         self.lm, self.kept = lm, {}
 
-    def restore(self, word: str, spelled: bool) -> str:
-        found = self.kept.get(word)
+    def restore(self, word: str, spelled: bool, loose: bool = False) -> str:
+        found = self.kept.get((word, loose))
         if found is None:
-            found = viterbi(lattice(word, spelled), self.lm)
+            found = viterbi(lattice(word, spelled, loose), self.lm)
             if len(self.kept) > 50_000:
                 self.kept.clear()
             if len(word) <= 64:
-                self.kept[word] = found
+                self.kept[word, loose] = found
         return found
 
-    def words(self, text: str | None) -> set[str]:
-        """Distinct words of a text, raw and restored, without signs at their ends."""
+    def words(self, text: str | None) -> list[set[str]]:
+        """Distinct words of a text, raw and restored, for each reading of signs at their ends.
+
+        Without them, with all of them, and with those that the search keeps; only the first if no word has signs
+        there that may be letters. A word has one form in each, so that its forms don't count as several words.
+        """
         low = (text or "").lower()
         tokens = low.split()
-        out = set(map(bare, set(tokens)))
-        for word, spelled in suspects(low, tokens):
-            out.update(self.restore(word, spelled).split())
-        return out
+        ends = {w: kept for w in set(tokens) if (kept := ended(w))}
+        same, cut = set(map(bare, set(tokens) - ends.keys())), set(map(bare, ends))
+        for word, spelled, of_end in suspects(low, tokens):
+            (cut if of_end else same).update(self.restore(word, spelled).split())
+        kept = [{x for w in ends.values() for x in self.restore(w, False, loose).split()} for loose in (False, True)] if ends else []
+        return [same | x for x in (cut, *kept)]
 
 
 def features(words: Iterable[str]) -> set[str]:
@@ -212,8 +233,10 @@ class Model:
         if self.reader is None:
             self.reader = Reader(self.lm)
         starts = self.starts
-        some = [w for w in self.reader.words(text) if w[:4] in starts] if starts else ()
-        return max(self.base, *(self.weights.get(x, 0.0) for x in features(some)), 0.0)
+        found: set[str] = set()
+        for reading in self.reader.words(text) if starts else ():
+            found |= features([w for w in reading if w[:4] in starts])
+        return max(self.base, *(self.weights.get(x, 0.0) for x in found), 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
