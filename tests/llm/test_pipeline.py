@@ -50,6 +50,24 @@ def test_near_copies(spark):
     assert {r.doc_id for r in simhash.stage(spark, docs, SF).collect()} == _groups(docs.collect())
 
 
+def test_near_copies_that_no_round_finds(spark, monkeypatch):
+    """Chains of copies, each similar to its neighbours alone, and texts with equal fingerprints or no part in common."""
+    rng = random.Random(6)
+    texts = []
+    for size in (7, 25, 90, 300):
+        for _ in range(4):
+            words = [f"w{rng.randrange(3000)}" for _ in range(size)]
+            for _ in range(12):
+                texts.append(" ".join(words))
+                words = words[max(1, size // 40) :] + [f"w{rng.randrange(3000)}" for _ in range(max(1, size // 40))]
+    common_line = " ".join(f"c{i}" for i in range(12))
+    texts += [f"{common_line} {rng.random()} {rng.random()}" for _ in range(60)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(simhash, "_candidates", lambda met, labels, number: (met, spark.createDataFrame([], "a long, b long, of_a long, of_b long")))
+    assert {r.doc_id for r in simhash.stage(spark, docs, SF).collect()} == _groups(docs.collect())
+
+
 def test_stages(spark):
     docs, counts = common.table(spark, SF, "documents"), []
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
