@@ -8,6 +8,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -301,6 +302,18 @@ def test_links_of_near_fingerprints(spark, monkeypatch):
         assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 7, 100])
+def test_long_runs_across_batches(monkeypatch, size):
+    """Of runs over RUN every row is sent on, wherever batches end; other runs give links."""
+    monkeypatch.setattr(simhash, "RUN", 4)
+    lengths = {1: 2, 5: 6, 6: 7, 7: 9, 8: 3, 9: 11, 10: 12, 11: 1, 12: 5}
+    rows = [(k, k << 40 | 1 << i) for k, n in lengths.items() for i in range(n)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows[at : at + size]], pa.int64()) for j in (0, 1)], ["key", "fp"]) for at in range(0, len(rows), size)]
+    got = [r for b in simhash._links(iter(batches)) for r in b.to_pylist()]
+    assert sorted((r["key"], r["a"]) for r in got if r["b"] is None) == sorted(x for x in rows if lengths[x[0]] > 4)
+    assert sum(r["b"] is not None for r in got) == 1 + 2
+
+
 # 8
 
 

@@ -96,13 +96,15 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, a, b): links; b null for a row of a run that is too long here. Reads rows in order of key."""
-    keys, fps, long = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+    keys, fps, sent = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
 
     def rows(key: list, a: list, b: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "a", "b"])
 
+    def passed(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps.view(np.int64)), pa.nulls(len(keys), pa.int64())], ["key", "a", "b"])
+
     def whole(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        nonlocal long
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         sizes = np.diff(np.append(starts, len(keys)))
         out: list[tuple[int, int]] = []
@@ -111,10 +113,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(near):
             yield rows(keys[near].tolist(), fps[near].view(np.int64).tolist(), fps[near + 1].view(np.int64).tolist())
         for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            if n > RUN or keys[at] == long:
-                long = keys[at]
-                run = fps[at : at + n].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, long)), pa.array(run), pa.nulls(n, pa.int64())], ["key", "a", "b"])
+            if n > RUN:
+                yield passed(keys[at : at + n], fps[at : at + n])
             else:
                 out += forest(fps[at : at + n])
         if out:
@@ -123,16 +123,17 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = np.concatenate([keys, batch.column(0).to_numpy()])
         fps = np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
+        more = int(np.searchsorted(keys, sent, "right")) if sent is not None else 0
+        if more:  # the rest of a long run, whatever its size
+            yield passed(keys[:more], fps[:more])
+            keys, fps = keys[more:], fps[more:]
         last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        if len(keys) - last > RUN or last < len(keys) and keys[last] == long:  # the open run is long already: it need not be held
-            long, last = keys[last], len(keys)
-            tail = int(np.searchsorted(keys, long))
-            yield from whole(keys[:tail], fps[:tail]) if tail else ()
-            long = keys[tail]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[tail:]), pa.array(fps[tail:].view(np.int64)), pa.nulls(len(keys) - tail, pa.int64())], ["key", "a", "b"])
-        elif last:
+        if last:
             yield from whole(keys[:last], fps[:last])
-        keys, fps = keys[last:], fps[last:]
+            keys, fps = keys[last:], fps[last:]
+        if len(keys) > RUN:  # the open run is long already: it need not be held
+            yield passed(keys, fps)
+            sent, keys, fps = keys[0], keys[:0], fps[:0]
     if len(keys):
         yield from whole(keys, fps)
 
