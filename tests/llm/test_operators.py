@@ -459,3 +459,10 @@ def test_tool_calls_with_null_needs_and_huge_numbers(spark):
     assert got["a"].problem is None and got["b"].problem is None
     assert (got["a"].place, got["b"].place) == (1, 2)
     assert '"needs":["a"]' in got["b"].canonical
+
+
+def test_calls_without_a_turn_come_after_their_needs(spark):
+    calls = [(1, "a", 5, "t", "1", None), (1, "b", None, "t", "1", ["a"]), (2, "c", None, "t", "1", ["d"]), (2, "d", None, "t", "1", []), (3, "e", 1, "t", "1", ["f"]), (3, "f", None, "t", "1", [])]
+    make = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, needs array<string>")
+    got = {r.call_id: (r.place, r.level) for r in toolcalls.link(make, spark.createDataFrame([], "conv_id long, call_id string, turn long, result string"), {}).collect()}
+    assert got == {"a": (1, 0), "b": (2, 1), "d": (1, 0), "c": (2, 1), "f": (1, 0), "e": (2, 1)}

@@ -3,7 +3,7 @@
 Calls and results meet in a hash join on (conversation, identifier). Of several results for one call the last
 one by turn counts, the others are counted. A call depends on the calls that its ``needs`` names. Calls that
 only need calls of earlier turns, as nearly all do, are in topological order by turn; a conversation with any
-other need has its calls ordered level by level (a call comes after all that it needs). A small conversation
+other need, also one of or by a call without a turn, has its calls ordered level by level (a call comes after all that it needs). A small conversation
 (``SMALL`` calls) is ordered by one task; a larger one by rounds of joins, so that none has to fit in memory.
 Calls on a cycle, or after one, have no place and follow the others.
 
@@ -125,7 +125,7 @@ def _levelled(calls: DataFrame) -> DataFrame:
     """Rows (conv_id, call_id, level): null for calls on or after a cycle. ``calls``: conv_id, call_id, turn, needs."""
     ids = calls.select("conv_id", "call_id", "turn")
     edges = calls.select("conv_id", "call_id", "turn", F.explode(F.array_distinct("needs")).alias("need")).join(ids.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("of")), ["conv_id", "need"])
-    odd = edges.where("of >= turn").select("conv_id").distinct()
+    odd = edges.where("of is null or turn is null or of >= turn").select("conv_id").distinct()
     # in order of turn already: the level is not needed, a place by turn will do
     plain = ids.join(odd, "conv_id", "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
     mixed = common.cut(calls.select("conv_id", "call_id", "needs").join(odd, "conv_id", "left_semi"))
