@@ -466,3 +466,13 @@ def test_calls_without_a_turn_come_after_their_needs(spark):
     make = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, needs array<string>")
     got = {r.call_id: (r.place, r.level) for r in toolcalls.link(make, spark.createDataFrame([], "conv_id long, call_id string, turn long, result string"), {}).collect()}
     assert got == {"a": (1, 0), "b": (2, 1), "d": (1, 0), "c": (2, 1), "f": (1, 0), "e": (2, 1)}
+
+
+def test_all_features_count(spark, monkeypatch, caplog):
+    docs = [(i, f"idiot{i} loser {i}" if i % 2 == 0 else f"the end {i}", "en", "a") for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    want = toxicity.fit(documents(spark, docs), labels)
+    monkeypatch.setattr(toxicity, "MOST_FEATURES", 1)
+    got = toxicity.fit(documents(spark, docs), labels)
+    assert got.weights == want.weights and len(want.weights) > 1
+    assert "features" in caplog.text

@@ -14,7 +14,7 @@ of toxic ones among documents that have it, so that rare features need no separa
 highest weight, and the base rate at least. Copies would make each word of a toxic text look toxic; so of labelled texts whose least
 shingle hash is the same one counts, and documents that have a feature of the highest weights are left out when
 the other features are counted, in a second pass over labelled documents. Counts are pre-aggregated in each task. The model that goes to the executors is 2**18
-floats and the features of a weight of ``LEAST`` or more, the heaviest ``MOST_FEATURES`` of them.
+floats and all features of a weight of ``LEAST`` or more; over ``MOST_FEATURES`` of them are reported.
 
 Defined cases: null and empty texts get the base rate (at most ``MOST_BASE``). Labels that are null are not
 learned from; with several labels for an id the document counts as toxic if one says so. Without labels, all
@@ -23,6 +23,7 @@ score 0. Repeated rows count as often as they occur.
 
 from __future__ import annotations
 
+import logging
 import re
 import string
 from collections.abc import Iterable, Iterator
@@ -43,7 +44,7 @@ SIGN_COST, BLANK_COST, DOUBLE_COST, END_COST = 0.5, 1.0, -2.0, 3.0
 Z, LEAST, MOST_BASE, THRESHOLD = 3.5, 0.15, 0.2, 0.3
 #: Features of this share of the highest weight explain their documents, which then say nothing of others.
 STRONG = 0.8
-#: Parameter of the classifier's size; features of less weight go first.
+#: A classifier of more features is reported, as driver and executors hold it.
 MOST_FEATURES = 200_000
 PREFIXES = (4, 5, 6, 7)
 #: Label rows up to this number are broadcast (16 bytes each); more are joined by shuffle.
@@ -305,7 +306,9 @@ def _counted(known: DataFrame, skip: Model | None) -> tuple[dict[str, float], fl
     z = Z * Z
     p, n = F.col("toxic") / F.col("n"), F.col("n")
     low = (p + z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z / (4 * n * n))) / (1 + z / n)
-    weights = {x.feature: float(x.w) for x in counts.where("feature <> ''").select("feature", low.alias("w")).where(F.col("w") >= LEAST).orderBy(F.desc("w"), "feature").limit(MOST_FEATURES).collect()}
+    weights = {x.feature: float(x.w) for x in counts.where("feature <> ''").select("feature", low.alias("w")).where(F.col("w") >= LEAST).collect()}
+    if len(weights) > MOST_FEATURES:
+        logging.getLogger(__name__).warning("%d features are kept, more than %d: the driver and each Python worker hold them", len(weights), MOST_FEATURES)
     base = counts.where("feature = ''").select(p).first()
     grams = np.zeros(_CLASSES**3, np.int64)
     got = counts.where("feature is null").select("gram", "n").toArrow()
