@@ -7,6 +7,7 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, decontam, langid, mixing, simhash, toxicity
@@ -68,6 +69,20 @@ def test_near_copies_that_no_round_finds(spark, monkeypatch):
     assert {r.doc_id for r in simhash.stage(spark, docs, SF).collect()} == _groups(docs.collect())
 
 
+def test_links_of_all_texts_with_one_fingerprint(spark):
+    """A text is similar only to the second one of two with equal fingerprints, and shares no part with it."""
+    rng = random.Random(9)
+    a, b = ([f"w{rng.randrange(3000)}" for _ in range(60)] for _ in range(2))
+    lines = {1: a, 2: b, 3: [*b[:-1], "other"]}
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in lines.items()], "doc_id long, text string")
+    none = np.zeros(0, np.uint64)
+    sets = {i: np.unique(simhash.shingle_hashes(" ".join(x), simhash.STAGE_WORDS)) for i, x in lines.items()}
+    rows = [(fp, len(sets[i]), i, simhash.prefix(sets[i], none, none).view(np.int64).tolist()) for i, fp in ((1, 7), (2, 7), (3, 1 << 40))]
+    texts = spark.createDataFrame(rows, "fp long, n int, id long, prefix array<long>")
+    got = simhash._rest(docs, texts, spark.createDataFrame([], "node long, label long")).collect()
+    assert {frozenset((r.of_a, r.of_b)) for r in got} == {frozenset((7, 1 << 40))}
+
+
 def test_stages(spark):
     docs, counts = common.table(spark, SF, "documents"), []
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
