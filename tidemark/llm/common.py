@@ -14,72 +14,93 @@ from pyspark.sql import functions as F
 #: Rows turned into Python strings at a time, whatever the size of the Arrow batch.
 SLICE_ROWS = 128
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, else a local one for tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session may go without; it gets one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidemark-"))
     return found
 
 
+_own: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def store(df: DataFrame, path: str) -> None:
+    """Write Parquet, after which Spark deletes the shuffle files of this write; :func:`release` deletes ``path``."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    _written[path] = spark
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing.
 
-    The files are removed when the application ends, or by :func:`release`.
+    The files are removed when the application ends, or before by :class:`Tables`.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    written(spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    store(df, path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out
 
 
-def discard(since: int, *keep: DataFrame) -> None:
-    """Delete the tables of :func:`cut` but for the first ``since`` and those in ``keep``; no frame may read them any more."""
-    stay = {x._tidemark_path for x in keep}
-    late = [x for x in _written[since:] if x[1] not in stay]
-    _written[since:] = [x for x in _written[since:] if x[1] in stay]
-    for spark, path in late:
-        _delete(spark, path)
-    for spark in {id(x): x for x, _ in late}.values():
-        spark.sparkContext._jvm.System.gc()  # Spark removes the shuffle files of plans that are collected
+class Tables:
+    """What one caller has :func:`cut`, so that it can delete tables that nothing reads any more. Not those of other callers."""
 
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, set()
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    def cut(self, df: DataFrame) -> DataFrame:
+        out = cut(df)
+        self.paths.add(out._tidemark_path)
+        return out
 
+    def drop(self, *frames: DataFrame) -> None:
+        for path in [x._tidemark_path for x in frames]:
+            self.paths.discard(path)
+            delete(self.spark, path)
 
-def written(spark: SparkSession, path: str) -> None:
-    """Have :func:`release` delete ``path``."""
-    _written.append((spark, path))
+    def drop_all(self, *keep: DataFrame) -> None:
+        for path in self.paths - {x._tidemark_path for x in keep}:
+            delete(self.spark, path)
+        self.paths &= {x._tidemark_path for x in keep}
 
 
-def tables() -> int:
-    """How many tables of :func:`cut` there are."""
-    return len(_written)
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.pop(path, None)
 
 
-def release(keep: int = 0) -> None:
-    """Delete the tables of :func:`cut`, but for the last ``keep``."""
-    while len(_written) > keep:
-        spark, path = _written.pop(0)
-        if spark.sparkContext._jsc is None:
-            continue
-        _delete(spark, path)
+def release() -> None:
+    """Delete all tables of :func:`store` of sessions that still run."""
+    for path, spark in list(_written.items()):
+        if spark.sparkContext._jsc is not None:
+            delete(spark, path)
+    _written.clear()
 
 
 @atexit.register
@@ -110,14 +131,17 @@ def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS) -> Iterator[pa.RecordB
         yield batch.slice(at, rows)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of ``edges`` (two long columns): rows (node, label), label the smallest node.
+def components(edges: DataFrame, a: str = "a", b: str = "b", tables: Tables | None = None) -> DataFrame:
+    """Connected components of ``edges`` (two long columns): rows (node, label), label the smallest
+    node, which has no row of its own.
 
     Alternating large-star and small-star steps; each is a partial aggregation of minima and a join on the
     node, so a node with many neighbours is pre-aggregated and its join can be split by AQE. Every step is
-    written to the shared folder. Ends when a pair of steps leaves the edges as they were.
+    written to the shared folder. Ends when a pair of steps leaves the edges as they were. The result is one of
+    ``tables``; the steps before are deleted.
     """
-    now = cut(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").distinct())
+    tables = tables or Tables(edges.sparkSession)
+    now = tables.cut(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").distinct())
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -126,9 +150,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # after the large star every edge points from a node to a smaller one
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = cut(small)
+        before, now = now, tables.cut(small)
+        tables.drop(before)
         seen = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == mark:
             break
         mark = seen
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
+    out = tables.cut(now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")))
+    tables.drop(now)
+    return out

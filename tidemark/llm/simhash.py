@@ -149,10 +149,11 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(hub.view(np.int64)), pa.array((free[i] * np.uint64(64) + free[j]).astype(np.int32)), pa.array(np.full(len(i), fp).view(np.int64))], ["hub", "bits", "fp"])
 
 
-def links(fps: DataFrame, column: str = "fp") -> DataFrame:
-    """Links (a, b) that connect distinct fingerprints just as all pairs within ``DISTANCE`` bits do."""
+def links(fps: DataFrame, column: str = "fp", tables: common.Tables | None = None) -> DataFrame:
+    """Links (a, b) that connect distinct fingerprints just as all pairs within ``DISTANCE`` bits do. Reads one of ``tables``."""
+    tables = tables or common.Tables(fps.sparkSession)
     index = fps.select(F.col(column).cast("long").alias("fp")).distinct().mapInArrow(_index, "key long, fp long")
-    found = common.cut(index.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "key long, a long, b long").distinct())
+    found = tables.cut(index.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "key long, a long, b long").distinct())
     stars = found.where("b is null").mapInArrow(_stars, "hub long, bits int, fp long")
     least = stars.groupBy("hub", "bits").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z")
     rest = stars.join(least, ["hub", "bits"]).select("a", F.col("fp").alias("b")).where("a <> b")
@@ -175,195 +176,3 @@ def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = cluster(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-#: Near copies of the stage: shingles of so many words, and the Jaccard similarity of their sets.
-STAGE_WORDS, SIMILARITY = 5, 0.8
-#: Parts of a text's shingles that have a fingerprint of their own, at each of two levels.
-PARTS = 24
-#: Texts under a key that others are compared with in a round, from the second round on.
-SLOTS = 8
-#: Shingles of a sample that are ordered by count; and what rounding may take from a bound.
-FREQUENT, SLACK = 100_000, 1e-6
-
-
-def part_keys(hashes: np.ndarray) -> np.ndarray:
-    """Keys of the SimHash fingerprints of parts of a set of shingles (distinct hashes).
-
-    A shingle's hash says which of 2**level parts it is in, and parts below ``PARTS`` are used. The level gives parts
-    of up to six shingles, so that of two sets with a similarity of ``SIMILARITY`` some parts are equal as a rule: one
-    part is, with a probability of about 0.8**6, and 24 are tried. Two levels are used, so that sets whose sizes differ
-    by a quarter share one. Sets that share none by chance are left to :func:`_rest`.
-    """
-    n = len(hashes)
-    if not n:
-        return np.zeros(1, np.int64)
-    level = int(np.log2(max(min(n, PARTS), n / 6)))
-    spread = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
-    out = []
-    for k in (level, level + 1):
-        part = spread & np.uint64((1 << k) - 1)
-        use = np.flatnonzero(part < PARTS)
-        use = use[np.argsort(part[use], kind="stable")]
-        part = part[use]
-        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
-        if not len(part):
-            continue
-        bits = np.unpackbits(hashes[use].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
-        ones, sizes = np.add.reduceat(bits, starts), np.diff(np.append(starts, len(part)))
-        fps = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-        out.append((fps ^ ((part[starts] + np.uint64(k * 64 + 1)) * np.uint64(0xC2B2AE3D27D4EB4F))).view(np.int64))
-    return np.concatenate([np.zeros(0, np.int64), *out])
-
-
-def prefix(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first of a set of shingles in the order of count and hash, so many that each similar set has one of them among its own."""
-    n = len(hashes)
-    if not n or not len(known):
-        often = np.zeros(n, np.int64)
-    else:
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        often = np.where(known[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, often))[: n - int(np.ceil(SIMILARITY * n - SLACK)) + 1]]
-
-
-def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles often found in a sample of documents, in order, and how often: they come last in the order of shingles.
-
-    Any order of shingles finds the same links; this one has common shingles bring few texts together.
-    """
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0).select(F.explode(_shingles(F.col("text").cast("string"))).alias("shingle"))
-    got = some.groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow()
-    known, counts = got.column("shingle").to_numpy().view(np.uint64), got.column("count").to_numpy()
-    order = np.argsort(known)
-    return known[order], counts[order]
-
-
-def _sketch(text: Column, known: np.ndarray, counts: np.ndarray) -> Column:
-    @F.arrow_udf("struct<fp:long,n:int,sign:long,keys:array<long>,prefix:array<long>>")
-    def sketch(column: pa.Array) -> pa.Array:
-        out = []
-        for x in common.strings(column):
-            hashes = shingle_hashes(x, STAGE_WORDS)
-            distinct = np.unique(hashes)
-            sign = int(np.uint64(xxhash.xxh64_intdigest(distinct.tobytes(), SEED)).view(np.int64))
-            out.append({"fp": majority(hashes), "n": len(distinct), "sign": sign, "keys": part_keys(distinct), "prefix": prefix(distinct, known, counts).view(np.int64)})
-        return pa.array(out, pa.struct([("fp", pa.int64()), ("n", pa.int32()), ("sign", pa.int64()), ("keys", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))]))
-
-    return sketch(text)
-
-
-def _shingles(text: Column) -> Column:
-    @F.arrow_udf("array<long>")
-    def shingles(column: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingle_hashes(x, STAGE_WORDS)).view(np.int64) for x in common.strings(column)], pa.list_(pa.int64()))
-
-    return shingles(text)
-
-
-def _meeting(one: DataFrame) -> DataFrame:
-    """(key, fp, n): the parts that at least two texts have. Keys alone are counted first, as nearly all have one text."""
-    parts = one.select("fp", "n", F.explode("keys").alias("key"))
-    shared = common.cut(parts.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key"))
-    return common.cut(parts.join(shared, "key").select("key", "fp", "n"))
-
-
-def _candidates(met: DataFrame, labels: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
-    """The parts that texts of different components still have, and pairs (a, b, of_a, of_b) of such texts and their components.
-
-    Under each key one text of its largest component is paired with all texts of the others. The text is the least
-    fingerprint in the first round, so that it is the same under most keys of a group. In later rounds texts are
-    drawn for each key, and a text of the largest component in each of ``SLOTS`` classes of components is paired.
-    Pairs that sizes rule out are left out. Components only grow, so a key of one component is done.
-    """
-    met = met.select("key", "fp", "n")
-    mine = met.join(labels, met.fp == labels.node, "left").select("key", "fp", "n", F.coalesce("label", "fp").alias("label"))
-    draw = F.xxhash64("key", "fp", F.lit(number)) if number else F.col("fp")
-    per = mine.groupBy("key", "label").agg(F.count("*").alias("texts"), F.min(F.struct(draw.alias("draw"), "fp", "n")).alias("hub"))
-    largest = [F.max(F.when(F.pmod(F.xxhash64("label", F.lit(number)), F.lit(SLOTS)) == k, F.struct("texts", "label", "hub"))) for k in range(SLOTS)] if number else [F.max(F.struct("texts", "label", "hub"))]
-    hubs = per.groupBy("key").agg(F.array_compact(F.array(*largest)).alias("hubs"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "hubs")
-    hubs = common.cut(hubs)
-    met = common.cut(mine.join(hubs.select("key"), "key", "left_semi"))
-    left = met.join(hubs, "key").select("fp", "n", "label", F.explode("hubs").alias("h")).select("fp", "n", "label", F.col("h.label").alias("of"), F.col("h.hub.fp").alias("hub"), F.col("h.hub.n").alias("hub_n"))
-    fits = F.least("n", "hub_n") >= F.lit(SIMILARITY) * F.greatest("n", "hub_n")
-    ordered = [F.when(F.col("fp") < F.col("hub"), F.col(x)).otherwise(F.col(y)) for x, y in (("fp", "hub"), ("hub", "fp"), ("label", "of"), ("of", "label"))]
-    pairs = left.where((F.col("label") != F.col("of")) & fits).select(*(c.alias(x) for c, x in zip(ordered, ("a", "b", "of_a", "of_b"), strict=True))).distinct()
-    return met, pairs
-
-
-def _verified(docs: DataFrame, one: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets are similar by ``SIMILARITY`` or more."""
-    ids = common.cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(one.select("fp", "least"), "fp"))
-    sets = common.cut(docs.select(F.col("doc_id").alias("least"), "text").join(ids, "least").select("fp", _shingles(F.col("text").cast("string")).alias("set")).dropDuplicates(["fp"]))
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= F.lit(SIMILARITY) * (F.size("x") + F.size("y") - shared)).select(*pairs.columns)
-
-
-def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """Labels after the components ``of_a`` and ``of_b`` are joined as wholes; the smallest node of one, or a text without a link, is no node of labels."""
-    joined = common.cut(common.components(found, "of_a", "of_b"))
-    to = joined.select(F.col("node").alias("of"), F.col("label").alias("to"))
-    return common.cut(labels.join(to, labels.label == to.of, "left").select("node", F.coalesce("to", "label").alias("label")).unionByName(joined))
-
-
-def _rest(docs: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (of_a, of_b) of all components between which two texts are similar: an exact join on prefixes of shingles.
-
-    In one order of all shingles, two similar sets have their first common shingle within the first n - ceil(s n) + 1
-    of each, and the smaller has it within its first n - ceil(2 s n / (1 + s)) + 1; what follows it in both must do for
-    the overlap. Shingles of a single component are dropped before they meet.
-    """
-    s = F.lit(SIMILARITY)
-    mine = common.cut(texts.join(labels, texts.fp == labels.node, "left").select("id", "n", F.coalesce("label", "fp").alias("of"), "prefix"))
-    rows = mine.select("id", "n", "of", F.posexplode("prefix").alias("at", "shingle"))
-    shared = common.cut(rows.groupBy("shingle").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("shingle"))
-    met = common.cut(rows.join(shared, "shingle").select("shingle", "id", "n", "of", (F.col("n") - F.col("at")).alias("left")))
-    less = met.where(F.col("left") >= 2 * s / (1 + s) * F.col("n") - SLACK).select("shingle", *(F.col(x).alias(f"{x}_a") for x in ("id", "n", "of", "left")))
-    more = met.select("shingle", *(F.col(x).alias(f"{x}_b") for x in ("id", "n", "of", "left")))
-    fits = (F.col("of_a") != F.col("of_b")) & (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") >= s * F.col("n_b") - SLACK) & (F.least("left_a", "left_b") >= s / (1 + s) * (F.col("n_a") + F.col("n_b")) - SLACK)
-    pairs = less.join(more, "shingle").where(fits & ((F.col("n_a") < F.col("n_b")) | (F.col("id_a") < F.col("id_b")))).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "of_a", "of_b").distinct()
-    by_id = mine.select(F.col("id").alias("fp"), F.col("id").alias("least"))
-    return common.cut(_verified(docs, by_id, common.cut(pairs)).select("of_a", "of_b").distinct())
-
-
-def groups(docs: DataFrame, one: DataFrame, texts: DataFrame) -> DataFrame:
-    """Components (node, label) of texts under equal fingerprints' links and similarity of shingle sets.
-
-    ``one``: fp, least (the id of a document that has it), n, keys. Texts that share a part meet in rounds, in each
-    of which only texts of different components are compared, and under each key with one text, so that pairs grow
-    with the number of texts and not with the square of a group. Rounds end when one finds no link. Links that they
-    miss, by lack of a shared part or of a comparison, are then found exactly between the components that are left,
-    of all texts with different shingles (``texts``: fp, n, id, prefix), also of those with equal fingerprints.
-    """
-    since = common.tables()
-    labels, met, number = common.cut(common.components(links(one))), _meeting(one), 0
-    while True:
-        common.discard(since, labels, met)
-        met, pairs = _candidates(met, labels, number)
-        found = common.cut(_verified(docs, one, common.cut(pairs)).select("of_a", "of_b").distinct())
-        if not found.limit(1).count():
-            break
-        labels = _joined(labels, found)
-        number += 1
-    common.discard(since, labels)
-    return _joined(labels, _rest(docs, texts, labels))
-
-
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one of the least id, once. Documents without an id stay.
-
-    Texts are of a group if their fingerprints (of five-word shingles) link, by deletion variants as in
-    :func:`cluster`, or if their shingle sets are similar by 0.8: fingerprints of 64 bits of such texts differ by 4
-    to 14 bits, which is out of that index's reach, so most are found by fingerprints of parts, and verified, and the
-    rest by a join that finds all.
-    """
-    known = docs.where("doc_id is not null")
-    rows = common.cut(known.select("doc_id", _sketch(F.col("text").cast("string"), *_frequent(known)).alias("s")).select("doc_id", "s.*"))
-    one = common.cut(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "keys")).alias("r")).select("fp", F.col("r.doc_id").alias("least"), "r.n", "r.keys"))
-    texts = rows.groupBy("fp", "n", "sign").agg(F.min(F.struct("doc_id", "prefix")).alias("r")).select("fp", "n", F.col("r.doc_id").alias("id"), "r.prefix")
-    labels = groups(known, one, texts)
-    at = one.join(labels, one.fp == labels.node, "left").select("least", F.coalesce("label", "fp").alias("label"))
-    keep = at.groupBy("label").agg(F.min("least").alias("__tidemark_id")).select("__tidemark_id")
-    kept = known.join(keep, F.col("doc_id") == F.col("__tidemark_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
