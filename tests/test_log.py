@@ -1,13 +1,14 @@
 """Snapshots, differences and collection of random histories against a dictionary; transactions on a store."""
 
 import json
+import pathlib
 import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.errors import InvalidArgument, NotFound, SchemaViolation, TransactionConflict, TransactionExpired
+from tidemark.errors import InvalidArgument, NotFound, SchemaViolation, TransactionConflict, TransactionExpired, UnknownTransaction
 from tidemark.operators import conflicts
 from tidemark.operators import snapshot as snap
 from tidemark.operators.query import Filter, OrderBy, Query
@@ -95,11 +96,12 @@ def test_queries_read_the_whole_log(spark):
             assert max(r.commit_version for r in rows) > (300 if name.startswith("batch") else catalogue.LATE), name
 
 
-def test_plan_pushes_versions_down(spark):
-    from tidemark.plans import catalogue
-
-    plan = snap.snapshot(catalogue.event_log(spark, "/root/testdata/sf0.001"), 500)._jdf.queryExecution().executedPlan().toString()
+def test_plan_pushes_versions_down(spark, tmp_path):
+    """One shuffle, and the version's bound is a filter of the scan."""
+    spark.createDataFrame(history(3), LOG).write.parquet(str(tmp_path / "log"))
+    plan = snap.snapshot(spark.read.schema(LOG).parquet(str(tmp_path / "log")), 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+    assert "LessThanOrEqual(commit_version,5)" in plan[plan.index("PushedFilters") :]
 
 
 @pytest.fixture
@@ -107,114 +109,261 @@ def store(spark, tmp_path):
     return Store(spark, str(tmp_path / "store"))
 
 
-def test_scenario(store):
-    schema = {"type": "object", "required": ["title", "status"], "properties": {"title": {"type": "string", "minLength": 1}, "status": {"enum": ["open", "done"]}, "n": {"type": "integer"}}}
+def ids(frame):
+    return [r.record_id for r in frame.collect()]
+
+
+def batch(spark, **bodies):
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in bodies.items()], "record_id string, body string")
+
+
+def test_a_harbour_log(store):
+    """Ships come and go: schema, filters, sorting, time travel, differences, tombstones."""
+    berth = {"type": "object", "required": ["ship"], "properties": {"ship": {"type": "string", "maxLength": 12}, "draught": {"type": "number", "maximum": 20}, "flag": {"enum": ["NO", "GR", None]}}}
     with store.transaction() as t:
-        assert t.bind("s", "tasks", schema) == 1
-    with pytest.raises(SchemaViolation):
-        store.upsert("s", "tasks", {"title": ""}, "t2")
-    for i, (status, n) in {"t1": ("open", 1), "t3": ("open", 5), "t4": ("done", 3), "t5": ("open", 9)}.items():
-        store.upsert("s", "tasks", {"title": i, "status": status, "n": n}, i)
-    result = store.query("s", "tasks", Query((Filter("eq", "status", "open"),), OrderBy("n")))
-    assert [r.record_id for r in result.records.collect()] == ["t1", "t3", "t5"]
-    assert result.total_matched == 4 and result.filtered_count == 3
-    before = store.version()
-    after = store.delete("s", "tasks", "t3")
-    assert store.get("s", "tasks", "t3") is None and store.get("s", "tasks", "t3", before)["n"] == 5
-    assert [(r.record_id, r.after) for r in store.diff("s", "tasks", before, after).collect()] == [("t3", None)]
-    assert not store.diff("s", "tasks", after, after).count()
+        assert t.bind("port", "berths", berth) == 1
+    for wrong in ({"ship": "Astrid", "draught": 20.5}, {"draught": 3}, {"ship": "x", "flag": "??"}, ["ship"]):
+        with pytest.raises(SchemaViolation):
+            store.upsert("port", "berths", wrong)
+    empty = store.version()
+    fleet = {"north": ("Astrid", 7.5, "NO"), "east": ("Boreas", 12, "GR"), "west": ("Calypso", 4.25, None)}
+    for quay, (ship, draught, flag) in fleet.items():
+        store.upsert("port", "berths", {"ship": ship, "draught": draught, "flag": flag}, quay)
+    deep = store.query("port", "berths", Query((Filter("ge", "draught", 5),), OrderBy("draught", descending=True)))
+    assert ids(deep.records) == ["east", "north"] and (deep.total_matched, deep.filtered_count) == (3, 2)
+    full = store.version()
+    left = store.delete("port", "berths", "east")
+    assert store.get("port", "berths", "east") is None and store.get("port", "berths", "east", full)["ship"] == "Boreas"
+    gone = store.snapshot("port", "berths", include_deleted=True).where("deleted").collect()
+    assert [(r.record_id, r.schema_version) for r in gone] == [("east", 1)]
+    assert [(r.record_id, json.loads(r.before)["ship"], r.after) for r in store.diff("port", "berths", full, left).collect()] == [("east", "Boreas", None)]
+    assert not store.diff("port", "berths", full, full).count() and not store.snapshot("port", "berths", empty).count()
     with pytest.raises(NotFound):
-        store.delete("s", "tasks", "never")
-    assert store.schema("s", "_table::tasks") == schema
-    assert store.get("s", "tasks", "t1", 0) is None
+        store.delete("port", "berths", "south")
+    assert store.schema("port", "_table::berths") == berth
+
+
+def test_schemas_are_listed_by_name(store):
+    with store.transaction() as t:
+        t.register_schema("a", "zeta", {"type": "string"})
+        t.register_schema("a", "alpha", {"type": "integer"})
+        t.bind("a", "things", {})
+    first = store.version()
+    with store.transaction() as t:
+        assert t.register_schema("a", "alpha", {"type": "number"}) == 2
+    named = lambda at: [(r.name, r.version, r.is_binding) for r in store.schemas("a", at).collect()]
+    assert named(None) == [("_table::things", 1, True), ("alpha", 2, False), ("zeta", 1, False)]
+    assert named(first)[1] == ("alpha", 1, False) and named(0) == [] and store.schemas("other").count() == 0
 
 
-def test_batches_are_atomic(store):
-    store.upsert_many("s", "t", [{"body": {"i": i}, "record_id": f"r{i}"} for i in range(5)])
-    assert {r.commit_version for r in store.snapshot("s", "t").collect()} == {1}
+def test_order_of_batches_and_records(spark, store):
+    """The last write counts, whichever call made it; a transaction reads its own batches."""
+    with store.transaction() as t:
+        t.upsert_many("s", "t", batch(spark, k="batch", m="batch"))
+        assert t.get("s", "t", "k") == "batch"
+        t.upsert("s", "t", "later", "k")
+        assert t.get("s", "t", "k") == "later"
+        t.upsert("s", "t", "first", "n")
+        t.upsert_many("s", "t", batch(spark, n="second", o=1))
+        t.delete("s", "t", "o")
+        assert t.get("s", "t", "n") == "second" and t.get("s", "t", "o") is None
+    assert [store.get("s", "t", x) for x in "kmno"] == ["later", "batch", "second", None]
+    with pytest.raises(InvalidArgument, match="2 times"):
+        store.upsert_many("s", "t", batch(spark, a=1).union(batch(spark, a=2)))
     with pytest.raises(InvalidArgument):
-        store.upsert_many("s", "t", [{"body": 1, "record_id": "ok"}, {"body": 2, "record_id": "not/ok"}])
+        store.upsert_many("s", "t", spark.createDataFrame([("a/b", "1")], "record_id string, body string"))
     with pytest.raises(InvalidArgument):
         store.upsert_many("s", "t", [])
-    assert store.version() == 1
-    with store.transaction() as t:
-        t.upsert("s", "users", {"a": 1}, "u1")
-        t.upsert("s", "orders", {"a": 1}, "o1")
-        t.upsert("s", "orders", {"a": 2}, "o1")
-    assert store.get("s", "orders", "o1") == {"a": 2} and store.version() == 2
+    with pytest.raises(InvalidArgument):
+        store.upsert_many("s", "t", [{"body": 1, "record_id": "fine"}, {"body": 2, "record_id": "not fine"}])
+    assert store.version() == 1 and {r.commit_version for r in store.snapshot("s", "t").collect()} == {1}
+
+
+@pytest.mark.parametrize("batches", [False, True])
+@pytest.mark.parametrize("scan", [False, True])
+def test_conflicts(spark, store, batches, scan):
+    """First committer wins: records that both write, and cycles of reads and writes, by records, batches and queries."""
+
+    def write(t, key, value):
+        return t.upsert_many("s", "t", batch(spark, **{key: value})) if batches else t.upsert("s", "t", value, key)
 
+    def read(t):
+        return store.query("s", "t", txn=t) if scan else (t.get("s", "t", "x"), t.get("s", "t", "y"))
 
-def test_conflicts(store):
+    store.upsert_many("s", "t", [{"body": 0, "record_id": "x"}, {"body": 0, "record_id": "y"}])
     a, b = store.begin(), store.begin()
-    a.upsert("s", "t", 1, "k")
-    b.upsert("s", "t", 2, "k")
-    assert a.commit() == 1 and a.commit() == 1
+    write(a, "k", 1), write(b, "k", 2)
+    assert a.commit() == 2 and a.commit() == 2
     with pytest.raises(TransactionConflict):
         b.commit()
-    # write skew: each reads both, each writes one; the first to commit fails and the other succeeds
-    store.upsert_many("s", "t", [{"body": 0, "record_id": "x"}, {"body": 0, "record_id": "y"}])
-    a, b = store.begin(), store.begin()
-    for t in (a, b):
-        t.get("s", "t", "x"), t.get("s", "t", "y")
-    a.upsert("s", "t", 1, "x")
-    b.upsert("s", "t", 1, "y")
+    assert b.status == "aborted" and not store.pins
+    other = Store(spark, store.path)  # as another process would
+    a, b = store.begin(), other.begin()
+    read(a), (other.query("s", "t", txn=b) if scan else (b.get("s", "t", "x"), b.get("s", "t", "y")))
+    write(a, "x", 1), write(b, "y", 1)
+    a.commit()
     with pytest.raises(TransactionConflict):
-        a.commit()
-    b.commit()
-    # own reads and disjoint writes are fine; an empty commit takes no version
-    a, b = store.begin(), store.begin()
-    a.get("s", "t", "x")
-    a.upsert("s", "t", 5, "x")
-    b.upsert("s", "t", 5, "z")
+        b.commit()
+    # own reads, disjoint writes and one-sided reads are fine; an empty commit takes no version
+    a, b, c = store.begin(), store.begin(), store.begin()
+    read(a), write(a, "x", 5), write(b, "z", 5), read(c)
     a.commit(), b.commit()
     at = store.version()
-    assert store.begin().commit() == at == store.version()
+    assert c.commit() == c.snapshot and store.begin().commit() == at == store.version()
+
+
+def test_random_interleavings(spark, store):
+    """Transactions against a model: reads are the snapshot's or own, the last own write counts, cycles and double writes fail."""
+    rng, names = random.Random(3), ["p", "q", "r"]
+    state, log = {0: {}}, []  # what each version holds; (version, snapshot, reads, writes) of commits
+    running = []
+    for step in range(40):
+        if len(running) < 3:
+            running.append((store.begin(), set(), {}))
+            continue
+        t, reads, writes = rng.choice(running)
+        key = rng.choice(names)
+        if rng.random() < 0.4:
+            assert t.get("s", "t", key) == (writes[key] if key in writes else state[t.snapshot].get(key))
+            reads.add(key)
+        elif rng.random() < 0.7:
+            if rng.random() < 0.3:
+                t.upsert_many("s", "t", batch(spark, **{key: step}))
+            else:
+                t.upsert("s", "t", step, key)
+            writes[key] = step
+        else:
+            running.remove((t, reads, writes))
+            later = [c for c in log if c[0] > t.snapshot]
+            bad = any(c[3] & writes.keys() or (reads & c[3] and c[2] & writes.keys()) for c in later)
+            if bad:
+                with pytest.raises(TransactionConflict):
+                    t.commit()
+            else:
+                got, last = t.commit(), max(state)
+                assert got == (last + 1 if writes else t.snapshot)
+                if writes:
+                    state[got] = state[last] | writes
+                    log.append((got, t.snapshot, reads, set(writes)))
+    assert len(log) > 2
+    for at, want in state.items():
+        assert {r.record_id: json.loads(r.body) for r in store.snapshot("s", "t", at).collect()} == want
+
+
+def test_retries_and_reconciling(store):
+    for value in (1, 2):
+        with store.transaction("order-17") as t:
+            t.upsert("s", "t", value, "k")
+        assert t.version == 1
+    assert store.get("s", "t", "k") == 1 and store.version() == 1
+    t = store.begin()
+    t.upsert("s", "t", 3, "k")
+    real, store._finish = store._finish, lambda *_: None  # the answer is lost after the commit is there
+    t.commit()
+    store._finish = real
+    t.status = "active"
+    assert store.reconcile(t) == "committed" and t.version == 2 and store.transaction_by_id(t.txn_id) is t
+    t = store.begin()
+    t.upsert("s", "t", 4, "k")
+    assert store.reconcile(t) == "aborted" and store.get("s", "t", "k") == 3
+    t = store.begin()
+    t.abort(), t.abort()
+    with pytest.raises(UnknownTransaction):
+        store.transaction_by_id("none")
 
 
-def test_expiry_and_pins(store):
+def test_hooks(store):
+    seen = []
+    store.on_commit(lambda version, tables: seen.append((version, tables)))
+    store.on_commit(lambda *_: 1 / 0)
+    with pytest.warns(UserWarning, match="after version 1"):
+        store.upsert("s", "t", 1, "k")
+    assert seen == [(1, [("s", "t")])] and store.get("s", "t", "k") == 1
+
+
+def test_expiry_and_pins(spark, store):
     store.upsert("s", "t", 1, "k")
     t = store.begin()
     assert store.sweep() == 0 and store.sweep(t.heartbeat_ms + 10**6) == 1
     with pytest.raises(TransactionExpired):
         t.upsert("s", "t", 2, "k")
-    with store.reader() as at:
+    other = Store(spark, store.path)
+    with other.reader() as at:  # vacuum is the first store's
         store.upsert("s", "t", 2, "k")
         store.upsert("s", "t", 3, "k")
-        store.vacuum()
-        assert store.get("s", "t", "k", at) == 1
-    assert not store.pins
+        assert store.vacuum() == at == 1 and store.pinned() and not store.pins
+        assert other.get("s", "t", "k", at) == 1
+    assert not store.pinned()
     store.vacuum()
-    assert store.get("s", "t", "k") == 3 and store.log().count() == 1
+    assert store.get("s", "t", "k") == 3 and store.log().count() == 1 and not store.commits()
     store.upsert("s", "t", 4, "k")
     assert store.get("s", "t", "k", 3) == 3 and store.get("s", "t", "k") == 4
+    with pytest.raises(NotFound):
+        store.get("s", "t", "k", 2)
+    lost = Store(spark, store.path, lease_ms=-1)
+    lost.pin(3)  # its process is gone, and its lease over
+    assert store.maintain() == {"expired": 0, "pins": 0, "folded_to": 4, "commits_removed": 1}
+
+
+def test_folds_answer_as_commits_do(spark, store):
+    for i in range(6):
+        store.upsert("s", "t" if i % 3 else "u", {"i": i}, f"r{i % 2}")
+    store.delete("s", "t", "r1")
+    look = lambda: [sorted(tuple(r) for r in store.snapshot("s", t, at, True).collect()) for t in "tu" for at in range(9)] + [store.diff("s", "t", 2, 7).collect()]
+    want = look()
+    assert store.checkpoint(4) == 4 and look() == want
+    assert store.compact() == 7 and look() == want
+    store.upsert("s", "t", {"i": 9}, "r9")
+    store.delete("s", "t", "r9")
+    later = look()
+    for x in store._files("_commits"):  # compacted commits are in the fold
+        if int(x[:-5]) <= 7:
+            store._remove(f"_commits/{x}")
+    assert look() == later and Store(spark, store.path).version() == 9
 
 
-def test_checkpoint_recover_rebuild(spark, store):
+def test_recovery_and_rebuild(spark, store):
     for i in range(4):
         store.upsert("s", "t", {"i": i}, f"r{i % 2}")
-    want = {r.record_id: r.body for r in store.snapshot("s", "t").collect()}
-    assert store.checkpoint() == 4
+    store.checkpoint()
     store.upsert("s", "t", {"i": 9}, "r9")
     got = {r.record_id: r.body for r in store.snapshot("s", "t").collect()}
-    assert got == want | {"r9": '{"i":9}'}
+    commits = pathlib.Path(store.path, "_commits")
+    (commits / f"{6:020d}.json").write_text('{"version": 6, "pa')  # torn, as by a store that writes in place
+    (commits / ".aside.tmp").write_text("{}")
     spark.range(1).write.parquet(f"{store.path}/data/lost-1")
-    assert store.recover() == 1
-    for c in store.commits():
-        store._fs.delete(store._path(f"{store.path}/_commits/{c['version']:020d}.json"), False)
-    assert store.version() == 0 and store.rebuild() == 5
     assert {r.record_id: r.body for r in store.snapshot("s", "t").collect()} == got
+    assert store.start() == {"completed": 5, "aborted": 1, "torn": 2}
+    assert store.upsert("s", "t", 1, "r10")[1] == 6
+    got = {r.record_id: r.body for r in store.snapshot("s", "t").collect()}
+    for folder in ("_commits", "_folds"):
+        for x in store._files(folder):
+            store._remove(f"{folder}/{x}")
+    fresh = Store(spark, store.path)
+    assert fresh.version() == 0 and fresh.start() == {"rebuilt": 6}
+    assert {r.record_id: r.body for r in fresh.snapshot("s", "t").collect()} == got
+    assert fresh.start() == {"completed": 6, "aborted": 0, "torn": 0}
 
 
-def test_stream_is_idempotent(spark, store, tmp_path):
+def test_streams(spark, store, tmp_path):
+    """Two streams into one table keep all batches; a batch that comes again after a crash changes nothing."""
     from tidemark.streaming.ingest import into_store
 
-    (tmp_path / "in").mkdir()
-    spark.range(5).select(F.concat(F.lit("r"), "id").alias("record_id"), F.to_json(F.struct("id")).alias("body")).write.mode("overwrite").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("record_id string, body string").parquet(str(tmp_path / "in"))
-    for at in ("a", "b"):  # the second one replays batch 0
-        q = into_store(stream, store, "s", "t", str(tmp_path / at)).trigger(availableNow=True).start()
-        q.awaitTermination(60)
-        assert store.snapshot("s", "t").count() == 5 and store.version() == 1
+    def run(name):
+        stream = spark.readStream.schema("record_id string, body string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name / "part-*"))
+        into_store(stream, store, "s", "t", str(tmp_path / f"{name}-at")).trigger(availableNow=True).start().awaitTermination(60)
+
+    for name in "pq":
+        for i in range(2):
+            batch(spark, **{f"{name}{2 * i}": i, f"{name}{2 * i + 1}": i}).coalesce(1).write.parquet(str(tmp_path / name / f"part-{i}"))
+        run(name)
+    assert sorted(ids(store.snapshot("s", "t"))) == [f"{x}{i}" for x in "pq" for i in range(4)]
+    at = store.version()
+    store.compact()  # marks outlive the commits' files
+    (tmp_path / "p-at" / "commits" / "1").unlink()  # the batch was written, and the stream stopped before it said so
+    (tmp_path / "p-at" / "commits" / ".1.crc").unlink(missing_ok=True)
+    run("p")
+    assert store.version() == at == 4
 
 
 def test_ssi_edges(spark):

@@ -9,7 +9,7 @@ from itertools import product
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
@@ -20,7 +20,10 @@ RANKS = {"VOID": 1, "BOOLEAN": 2, "number": 3, "STRING": 4, "ARRAY": 5, "OBJECT"
 
 
 def document(body: Column) -> Column:
-    """VARIANT of JSON text; null where it isn't JSON."""
+    """VARIANT of JSON text; null where it isn't JSON. Of a key that is there twice the last counts, which is a setting of the session."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return F.try_parse_json(body)
 
 
@@ -45,15 +48,15 @@ def tag(node: Column) -> Column:
     return F.schema_of_variant(node)
 
 
-def _is_whole(t: Column) -> Column:
+def is_whole(t: Column) -> Column:
     return (t == "BIGINT") | t.isin("DECIMAL(19,0)", "DECIMAL(20,0)")
 
 
-def _is_number(t: Column) -> Column:
+def is_number(t: Column) -> Column:
     return (t == "BIGINT") | (t == "DOUBLE") | t.startswith("DECIMAL")
 
 
-def _get(node: Column, kind: str) -> Column:
+def get(node: Column, kind: str) -> Column:
     return F.try_variant_get(node, "$", kind)
 
 
@@ -74,24 +77,26 @@ def _deep(body: Column, path: str, value: Any) -> Column:
     return same(body)
 
 
-def equals(body: Column, path: str, value: Any) -> Column:
-    node = at(document(body), path)
+def same(node: Column, value: Any) -> Column:
+    """Whether a VARIANT equals a scalar."""
     t = tag(node)
     if value is None:
         found = t == "VOID"
     elif isinstance(value, bool):
-        found = (t == "BOOLEAN") & (_get(node, "boolean") == value)
+        found = (t == "BOOLEAN") & (get(node, "boolean") == value)
     elif isinstance(value, str):
-        found = (t == "STRING") & (_get(node, "string") == value)
+        found = (t == "STRING") & (get(node, "string") == value)
     elif isinstance(value, int):
-        found = _is_whole(t) & (_get(node, "decimal(20,0)") == F.lit(Decimal(value)))
-    elif isinstance(value, float):
-        found = _is_number(t) & ~_is_whole(t) & (_get(node, "double") == value)
+        found = is_whole(t) & (get(node, "decimal(20,0)") == F.lit(Decimal(value)))
     else:
-        return _deep(body, path, value)
+        found = is_number(t) & ~is_whole(t) & (get(node, "double") == value)
     return F.coalesce(found, F.lit(False))
 
 
+def equals(body: Column, path: str, value: Any) -> Column:
+    return _deep(body, path, value) if isinstance(value, list | dict) else same(at(document(body), path), value)
+
+
 def order(body: Column, path: str, value: Any) -> Column:
     """-1, 0 or 1 of the value at the path against ``value``; SQL null if there is none."""
     node = at(document(body), path)
@@ -100,13 +105,13 @@ def order(body: Column, path: str, value: Any) -> Column:
         return F.when(t == "VOID", 0).when(t.isNotNull(), 1)
     sign = lambda x, y: F.when(x > y, 1).when(x < y, -1).otherwise(0)
     if isinstance(value, bool):
-        kind, cmp = t == "BOOLEAN", sign(_get(node, "boolean").cast("int"), F.lit(int(value)))
+        kind, cmp = t == "BOOLEAN", sign(get(node, "boolean").cast("int"), F.lit(int(value)))
     elif isinstance(value, int | float):
-        kind, cmp = _is_number(t), sign(_get(node, "double"), F.lit(float(value)))
+        kind, cmp = is_number(t), sign(get(node, "double"), F.lit(float(value)))
     elif isinstance(value, str):
-        kind, cmp = t == "STRING", sign(_get(node, "string"), F.lit(value))
+        kind, cmp = t == "STRING", sign(get(node, "string"), F.lit(value))
     elif isinstance(value, list):
-        kind, cmp = t.startswith("ARRAY"), sign(F.size(_get(node, "array<variant>")), F.lit(len(value)))
+        kind, cmp = t.startswith("ARRAY"), sign(F.size(get(node, "array<variant>")), F.lit(len(value)))
     else:
         kind, cmp = F.lit(False), F.lit(0)
     return F.when(t == "VOID", -1).when(kind, cmp).when(t.isNotNull(), 0)
@@ -118,15 +123,15 @@ def exists(body: Column, path: str) -> Column:
 
 def contains(body: Column, path: str, part: str) -> Column:
     node = at(document(body), path)
-    return F.coalesce((tag(node) == "STRING") & F.contains(_get(node, "string"), F.lit(part)), F.lit(False))
+    return F.coalesce((tag(node) == "STRING") & F.contains(get(node, "string"), F.lit(part)), F.lit(False))
 
 
 def sort_keys(body: Column, path: str, descending: bool) -> list[Column]:
     """Keys for one path: missing first, then null, booleans, numbers, strings, arrays by length, objects."""
     node = at(document(body), path)
     t = tag(node)
-    rank = reduce(lambda col, kind: col.when(t.startswith(kind), RANKS[kind]), ("VOID", "BOOLEAN", "STRING", "ARRAY", "OBJECT"), F.when(_is_number(t), RANKS["number"])).otherwise(0)
-    keys = [rank, F.when(t == "BOOLEAN", _get(node, "boolean")), F.when(_is_number(t), _get(node, "double")), F.when(t == "STRING", _get(node, "string")), F.when(t.startswith("ARRAY"), F.size(_get(node, "array<variant>")))]
+    rank = reduce(lambda col, kind: col.when(t.startswith(kind), RANKS[kind]), ("VOID", "BOOLEAN", "STRING", "ARRAY", "OBJECT"), F.when(is_number(t), RANKS["number"])).otherwise(0)
+    keys = [rank, F.when(t == "BOOLEAN", get(node, "boolean")), F.when(is_number(t), get(node, "double")), F.when(t == "STRING", get(node, "string")), F.when(t.startswith("ARRAY"), F.size(get(node, "array<variant>")))]
     return [x.desc() if descending else x.asc() for x in keys]
 
 

@@ -61,7 +61,7 @@ def compare(a: Any, b: Any) -> int:
 
 
 def canonical(text: str | None) -> str | None:
-    """One text for equal values; text that isn't JSON stays as it is."""
+    """One text for equal values, in ASCII, so that lone surrogates have one too; text that isn't JSON stays as it is."""
     if text is None:
         return None
 
@@ -74,6 +74,6 @@ def canonical(text: str | None) -> str | None:
 
     try:
         value = parse(text)
-        return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False) if not isinstance(value, float) or math.isfinite(value) else text
+        return json.dumps(plain(value), sort_keys=True, separators=(",", ":")) if not isinstance(value, float) or math.isfinite(value) else text
     except (ValueError, RecursionError):
         return text

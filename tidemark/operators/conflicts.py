@@ -17,19 +17,21 @@ def write_conflicts(staged: DataFrame, log: DataFrame) -> DataFrame:
 def rw_edges(ops: DataFrame) -> DataFrame:
     """Edges (reader, writer): the writer changed what the reader read, and they ran at the same time.
 
-    ``ops``: txn, key, is_write, begin, finish. Distinct reads and writes are joined on the key; a key that all
-    transactions read gives as many edges as it has writers times readers, which is what there is to find.
+    ``ops``: txn, key, is_write, begin, finish. Distinct reads and writes are joined on the key and on pieces of time
+    as long as the longest transaction, of which each has two at most: a key that all read and write is dealt over the
+    pieces, and gives pairs of neighbours in time alone.
     """
-    reads = ops.where(~F.col("is_write")).select("key", F.col("txn").alias("reader"), F.col("begin").alias("rb"), F.col("finish").alias("rf")).distinct()
-    writes = ops.where("is_write").select("key", F.col("txn").alias("writer"), F.col("begin").alias("wb"), F.col("finish").alias("wf")).distinct()
-    return reads.join(writes, "key").where("reader <> writer and rb < wf and wb < rf").select("reader", "writer").distinct()
+    span = ops.agg(F.greatest(F.max(F.col("finish") - F.col("begin")), F.lit(1)).alias("w")).first().w or 1
+    pieces = lambda x: F.explode(F.sequence(F.floor(F.col(f"{x}b") / span), F.floor(F.col(f"{x}f") / span))).alias("piece")
+    side = lambda write, name, x: ops.where(F.col("is_write") == write).select("key", F.col("txn").alias(name), F.col("begin").alias(f"{x}b"), F.col("finish").alias(f"{x}f")).distinct().select("*", pieces(x))
+    met = side(False, "reader", "r").join(side(True, "writer", "w"), ["key", "piece"])
+    return met.where("reader <> writer and rb < wf and wb < rf").select("reader", "writer").distinct()
 
 
 def dangerous_pairs(ops: DataFrame) -> DataFrame:
     """Pairs of transactions (a < b) that each read what the other wrote."""
-    edges = rw_edges(ops)
-    back = edges.select(F.col("writer").alias("reader"), F.col("reader").alias("writer"))
-    return edges.join(back, ["reader", "writer"], "left_semi").where("reader < writer").select(F.col("reader").alias("a"), F.col("writer").alias("b"))
+    a, b = F.least("reader", "writer").alias("a"), F.greatest("reader", "writer").alias("b")
+    return rw_edges(ops).groupBy(a, b).agg(F.count("*").alias("ways")).where("ways = 2").select("a", "b")
 
 
 def transaction_status(wal: DataFrame) -> DataFrame:

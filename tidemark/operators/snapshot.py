@@ -62,11 +62,21 @@ def diff(log: DataFrame, before: int, after: int) -> DataFrame:
     return differ.select(*KEY, F.col(names[0]).alias("before"), F.col(names[1]).alias("after"))
 
 
-def visible_at(log: DataFrame, versions: DataFrame, column: str = "version") -> DataFrame:
-    """Number of visible records at each of a few versions."""
+def visible_at(log: DataFrame, versions: DataFrame, column: str = "version", width: int = 65_536) -> DataFrame:
+    """Number of visible records at each of the versions.
+
+    Beginnings and ends of visibility are summed by version, then along versions: within pieces of ``width`` versions,
+    and over the pieces' sums, of which there is one row for each.
+    """
     steps = history(log).select(F.col("commit_version").alias("start"), F.col("replaced_by").alias("end"), "deleted").where(~F.col("deleted"))
     points = steps.select(F.col("start").alias("at"), F.lit(1).alias("d")).unionByName(steps.where("end is not null").select(F.col("end").alias("at"), F.lit(-1).alias("d"))).groupBy("at").agg(F.sum("d").alias("d"))
-    return versions.join(points, F.col("at") <= F.col(column), "left").groupBy(column).agg(F.coalesce(F.sum("d"), F.lit(0)).alias("visible"))
+    asked = versions.select(F.col(column).alias("at")).distinct()
+    piece = F.floor(F.col("at") / width).alias("piece")
+    both = points.select("at", "d", F.lit(0).alias("asked"), piece).unionByName(asked.select("at", F.lit(0).cast("long").alias("d"), F.lit(1).alias("asked"), piece))
+    before = both.groupBy("piece").agg(F.sum("d").alias("d")).select("piece", F.sum("d").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    inside = F.sum("d").over(Window.partitionBy("piece").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    found = both.withColumn("inside", inside).where("asked = 1").join(before, "piece")
+    return found.select(F.col("at").alias(column), (F.col("inside") + F.coalesce("before", F.lit(0))).alias("visible"))
 
 
 def chains(log: DataFrame) -> DataFrame:

@@ -41,9 +41,14 @@ def _millis(ts: Column) -> Column:
     return F.floor(F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts) / 1000)
 
 
-def event_log(spark: SparkSession, sf_dir: str, per_commit: int = 1) -> DataFrame:
-    """Events as a log; ``per_commit`` of them share a version, told apart by ``seq``."""
+def event_log(spark: SparkSession, sf_dir: str, per_commit: int = 1, upto: int | None = None) -> DataFrame:
+    """Events as a log; ``per_commit`` of them share a version, told apart by ``seq``.
+
+    ``upto``: the last version wanted. Versions are computed from ids here, so the scan is told in terms of ids.
+    """
     e = table(spark, sf_dir, "events")
+    if upto is not None:
+        e = e.where(F.col("event_id") < upto * per_commit)
     text = lambda c: F.to_json(F.struct(F.col(c).alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("x")))) - 6)
     k = F.regexp_extract("props", r"(\d+)", 1)
     body = F.concat(F.lit('{"event_type":'), text("event_type"), F.lit(',"value":'), F.col("value").cast("string"), F.lit(',"props":'), F.col("props"), F.lit(',"tags":['), k, F.lit(',"x"]'), F.when(F.col("event_id") % 3 == 0, F.lit(',"note":null')).when(F.col("event_id") % 3 == 1, F.lit(',"note":"n"')).otherwise(F.lit("")), F.lit("}"))
@@ -82,7 +87,7 @@ def _tenths(log: DataFrame, *tenths: int) -> list[int]:
 
 @_query(_SNAP + f"SELECT {_COLS} FROM s")
 def snapshot_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(snap.snapshot(event_log(spark, sf_dir), LATE))
+    return _plain(snap.snapshot(event_log(spark, sf_dir, upto=LATE), LATE))
 
 
 @_query(_NEWEST + f"SELECT {_COLS} FROM s")
@@ -98,7 +103,7 @@ def snapshot_read_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_LOG + f" SELECT record_id, commit_version, deleted FROM {_AT.format(LATE)}")
 def snapshot_include_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snap.snapshot(event_log(spark, sf_dir), LATE, include_deleted=True).select("record_id", "commit_version", "deleted")
+    return snap.snapshot(event_log(spark, sf_dir, upto=LATE), LATE, include_deleted=True).select("record_id", "commit_version", "deleted")
 
 
 @_query(_LOG + " SELECT record_id, max(commit_version) AS commit_version, arg_max(deleted, commit_version) AS deleted FROM log GROUP BY record_id")
@@ -144,7 +149,7 @@ def diff_share_to_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _filtered(name: str, where: str, *filters: Filter) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _plain(Query(filters).matching(snap.snapshot(event_log(spark, sf_dir), LATE, include_deleted=True)))
+        return _plain(Query(filters).matching(snap.snapshot(event_log(spark, sf_dir, upto=LATE), LATE, include_deleted=True)))
 
     def newest(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _plain(Query(filters).matching(snap.snapshot(event_log(spark, sf_dir), include_deleted=True)))
@@ -174,7 +179,7 @@ _filtered("filter_and", "event_type = 'click' AND k > 20", Filter("eq", "event_t
 
 def _page(name: str, sql: str, query: Query) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _plain(query.run(snap.snapshot(event_log(spark, sf_dir), LATE, include_deleted=True)))
+        return _plain(query.run(snap.snapshot(event_log(spark, sf_dir, upto=LATE), LATE, include_deleted=True)))
 
     def newest(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _plain(query.run(snap.snapshot(event_log(spark, sf_dir), include_deleted=True)))
@@ -192,7 +197,7 @@ _page("order_missing_first", "ORDER BY CASE event_id % 3 WHEN 2 THEN 0 WHEN 0 TH
 
 @_query(_SNAP + "SELECT count(*) AS total_matched, count(*) FILTER (value > 50) AS filtered_count FROM s")
 def total_before_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = snap.snapshot(event_log(spark, sf_dir), LATE)
+    seen = snap.snapshot(event_log(spark, sf_dir, upto=LATE), LATE)
     return seen.agg(F.count("*").alias("total_matched"), F.count_if(Filter("gt", "value", 50).column(F.col("body"))).alias("filtered_count"))
 
 
@@ -246,7 +251,7 @@ def global_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT CAST(user_id AS VARCHAR) AS record_id, event_id // 10 + 1 AS commit_version, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_id // 10 + 1 <= 300) WHERE rn = 1 AND event_type <> 'error'"
 )
 def batch_last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(snap.snapshot(event_log(spark, sf_dir, 10), 300)).select("record_id", "commit_version", "event_type", "value")
+    return _plain(snap.snapshot(event_log(spark, sf_dir, 10, 300), 300)).select("record_id", "commit_version", "event_type", "value")
 
 
 @_query(
@@ -351,6 +356,39 @@ def schema_version_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.latest(_schema_log(spark, sf_dir)).select("name", F.col("version").cast("long").alias("version"))
 
 
+#: What a note, the event's kind and its numbers must be; ``value`` falls under additionalProperties.
+EVENT_SCHEMA = {"type": "object", "required": ["note", "value"], "properties": {"event_type": {"enum": ["view", "click", "purchase"]}, "note": {"type": "string"}, "props": {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "maximum": 80}}, "additionalProperties": False}, "tags": {"type": "array", "maxItems": 2, "items": {"type": ["integer", "string"]}}}, "additionalProperties": {"type": "number", "maximum": 60}}
+
+
+@_query(_LOG + " SELECT event_id, CASE WHEN event_id % 3 = 2 THEN '$.note' WHEN event_type NOT IN ('view', 'click', 'purchase') THEN '$.event_type' WHEN event_id % 3 = 0 THEN '$.note' WHEN k > 80 THEN '$.props.k' WHEN value > 60 THEN '$.value' END AS fault_path FROM log WHERE NOT deleted")
+def schema_faults_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing names, nulls, nested and additional properties."""
+    log = event_log(spark, sf_dir).where(~F.col("deleted"))
+    return log.select((F.col("commit_version") - 1).alias("event_id"), jsonschema.first_fault(EVENT_SCHEMA, F.col("body"))["path"].alias("fault_path"))
+
+
+@_query("SELECT lang AS name, max(doc_id // 100 + 1) AS version, max(doc_id) AS commit_version FROM documents WHERE lang IS NOT NULL AND doc_id <= (SELECT max(doc_id) * 6 // 10 FROM documents WHERE lang IS NOT NULL) GROUP BY lang")
+def schema_listing_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schemas visible at six tenths of the newest version, by name."""
+    log = _schema_log(spark, sf_dir)
+    return registry.latest(log, *_tenths(log, 6)).select("name", F.col("version").cast("long").alias("version"), "commit_version").orderBy("name")
+
+
+@_query("SELECT event_id FROM events WHERE value > 50")
+def json_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a key that a body has twice the last counts."""
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"value":100,"value":'), F.col("value").cast("string"), F.lit("}")).alias("body"))
+    return e.where(Filter("gt", "value", 50).column(F.col("body"))).select("event_id")
+
+
+@_query(_NEWEST + f"SELECT {_COLS} FROM s WHERE CAST(record_id AS BIGINT) = (SELECT min(CAST(record_id AS BIGINT)) FROM s)")
+def point_get_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record's newest version: the visible one of the least user."""
+    log = event_log(spark, sf_dir)
+    least = snap.snapshot(log).agg(F.min(F.col("record_id").cast("long"))).first()[0]
+    return _plain(snap.get(log, str(least)))
+
+
 @_query("SELECT 't' || user_id AS txn_id, epoch_us(max(ts)) // 1000 AS heartbeat_ms FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error' AND epoch_us(max(ts)) // 1000 < (SELECT epoch_us(max(ts)) // 1000 FROM events) - 60000")
 def stale_txn_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
