@@ -25,4 +25,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Where SQL can say it and is fast enough on whole tables; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {"op9_exact_top_k": topk.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_tool_call_linking": toolcalls.SQL, "op3_warc_revisits": revisits.SQL, "op9_exact_top_k": topk.SQL}

@@ -1,6 +1,6 @@
 """Resolution of WARC revisit records: as-of join with the latest earlier full response of a canonical URL.
 
-A revisit (a server's "not modified") is resolved by the latest response at or before its time whose canonical
+A revisit (a server's "not modified") is resolved by the latest response before its time whose canonical
 URL is the same. Validators are checked: payload digests if both have one, else entity tags (weakly compared),
 else last-modified dates; if neither side offers one in common the revisit is resolved unchecked. Of the headers,
 those that a 304 may update replace the stored ones, all others stay.
@@ -10,7 +10,7 @@ last response of the pieces before, found on one row for each URL and piece that
 at ``PIECES`` quantiles of time, so that a URL with a third of all rows is dealt over as many tasks.
 
 Defined cases: a null or empty URL resolves nothing (``no_response``), nor does a null time. Of responses with equal time, the one with
-the largest record id counts. A revisit at the time of a response may use it. Repeated rows are each resolved.
+the largest record id counts. A response at the very time of a revisit is not earlier, and not used. Repeated rows are each resolved.
 """
 
 from __future__ import annotations
@@ -57,8 +57,8 @@ def resolve(responses: DataFrame, revisits: DataFrame) -> DataFrame:
     rows = rows.withColumn("piece", piece)
     said = F.struct("time", "record_id", "digest", "headers")
     lone = F.when(F.col("url_key").isNull() | F.col("time").isNull(), F.xxhash64("record_id"))  # rows that find nothing are not one group
-    here = Window.partitionBy("url_key", "piece", "lone").orderBy("time", F.desc("full"), "record_id").rowsBetween(Window.unboundedPreceding, 0)
-    # no order by record id among responses of one time is lost: the last in order is the largest
+    here = Window.partitionBy("url_key", "piece", "lone").orderBy("time", "full", "record_id").rowsBetween(Window.unboundedPreceding, 0)
+    # at one time revisits come first; of the responses before, the last in order has the largest record id
     found = rows.withColumn("lone", lone).withColumn("in_piece", F.last(F.when(F.col("full"), said), ignorenulls=True).over(here)).where("not full").drop("lone")
     ends = rows.where("full").groupBy("url_key", "piece").agg(F.max(F.struct("time", "record_id")).alias("top"))
     pieces = ends.select("url_key", "piece", "top").unionByName(rows.where("not full and url_key is not null").groupBy("url_key", "piece").agg(F.lit(None).cast("struct<time:bigint,record_id:bigint>").alias("top")))
@@ -79,20 +79,65 @@ def resolve(responses: DataFrame, revisits: DataFrame) -> DataFrame:
     return found.withColumn("status", status).select("record_id", "url_key", F.col("r.record_id").alias("response_id"), F.col("r.time").alias("response_time"), "status", F.when(F.col("status").isin("resolved", "unchecked"), F.map_from_entries(F.array_sort(F.map_entries(merged)))).alias("headers"))
 
 
+#: A page in so many is stored once more, changed, so many steps later; another in so many asks without validators, or before it was stored.
+AGAIN, STEPS, BARE, EARLY = 3, 40, 5, 11
+
+
 def as_records(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A crawl of the pages: each is stored whole at time 2 x id, and asked for once more, under the same URL,
-    at an odd time later by a step that its id gives; the server says "not modified" with the page's own digest and
-    a new date. Where another page of that canonical URL was stored in between, validators differ."""
+    """A crawl of the pages. Page i is stored whole at time 2 i; where i is divisible by ``AGAIN`` it is stored again,
+    changed, at 2 i + 2 ``STEPS``. It is asked for once more at an odd time up to 199 later, or, where i is divisible
+    by ``EARLY``, just before it was stored. The server says "not modified" with the validators of the first storing
+    and a new date, or without validators where i is divisible by ``BARE``.
+
+    So revisits are resolved, unchecked, without a response, or mismatched: by the page stored again, or by another
+    page of that canonical URL stored in between.
+    """
     said = F.md5(F.coalesce("html", F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("id"), "url", said.alias("digest"))
-    tag = F.concat(F.lit('"'), F.substring("digest", 1, 16), F.lit('"'))
-    first = F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), tag, F.lit("date"), (2 * F.col("id")).cast("string"))
-    again = F.col("id") * 2 + 1 + 2 * F.pmod(F.xxhash64("id"), F.lit(1000))
-    later = F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("date"), again.cast("string"), F.lit("server"), F.lit("cache"))
-    return rows.select((2 * F.col("id")).alias("record_id"), "url", (2 * F.col("id")).alias("time"), "digest", first.alias("headers")), rows.select((2 * F.col("id") + 1).alias("record_id"), "url", again.alias("time"), "digest", later.alias("headers"))
+    i, every = F.col("id"), lambda n: F.pmod(F.col("id"), F.lit(n)) == 0
+    text = lambda x: x.cast("string")
+    tag = lambda digest: F.concat(F.lit('"'), F.substring(digest, 1, 16), F.lit('"'))
+    stored = lambda time, digest: F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), tag(digest), F.lit("date"), text(time))
+    first = rows.select((4 * i).alias("record_id"), "url", (2 * i).alias("time"), "digest", stored(2 * i, F.col("digest")).alias("headers"))
+    changed, at = F.reverse("digest"), 2 * i + 2 * STEPS
+    second = rows.where(every(AGAIN)).select((4 * i + 1).alias("record_id"), "url", at.alias("time"), changed.alias("digest"), stored(at, changed).alias("headers"))
+    asked = F.when(every(EARLY), 2 * i - 1).otherwise(2 * i + 1 + 2 * F.pmod(i * 7919, F.lit(100)))
+    plain = F.create_map(F.lit("date"), text(asked), F.lit("server"), F.lit("cache"))
+    weak = F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag(F.col("digest"))), F.lit("date"), text(asked), F.lit("server"), F.lit("cache"))
+    revisits = rows.select((4 * i + 2).alias("record_id"), "url", asked.alias("time"), F.when(~every(BARE), F.col("digest")).alias("digest"), F.when(every(BARE), plain).otherwise(weak).alias("headers"))
+    return first.unionByName(second), revisits
 
 
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The response that each page's revisit resolves to, and the merged headers as JSON."""
     found = resolve(*as_records(common.table(spark, sf_dir, "pages")))
     return found.select("record_id", "url_key", "response_id", "response_time", "status", F.to_json("headers").alias("headers"))
+
+
+SQL = rf"""
+WITH p AS (
+  SELECT page_id AS id, url, md5(coalesce(html, '')) AS digest, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^https?://', '', 'i') AS bare FROM pages
+), q AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), ':(80|443)$', ''), '^www\d*\.', '') AS host,
+    regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^({TRACKING})(=|$)'))) AS asked FROM p
+), k AS (
+  SELECT id, digest, CASE WHEN trim(url) <> '' THEN host || path || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END END AS url_key FROM q
+), stored AS (
+  SELECT 4 * id AS record_id, url_key, 2 * id AS time, digest FROM k
+  UNION ALL SELECT 4 * id + 1, url_key, 2 * id + {2 * STEPS}, reverse(digest) FROM k WHERE id % {AGAIN} = 0
+), one AS (
+  SELECT * FROM stored WHERE url_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url_key, time ORDER BY record_id DESC) = 1
+), asked AS (
+  SELECT 4 * id + 2 AS record_id, url_key, CASE WHEN id % {EARLY} = 0 THEN 2 * id - 1 ELSE 2 * id + 1 + 2 * ((id * 7919) % 100) END AS time, CASE WHEN id % {BARE} <> 0 THEN digest END AS digest FROM k
+), met AS (
+  SELECT a.record_id, a.url_key, a.time, a.digest, o.record_id AS response_id, o.time AS response_time, o.digest AS old
+  FROM asked a ASOF LEFT JOIN one o ON a.url_key = o.url_key AND a.time > o.time
+), said AS (
+  SELECT *, CASE WHEN response_id IS NULL THEN 'no_response' WHEN digest IS NULL THEN 'unchecked' WHEN digest = old THEN 'resolved' ELSE 'mismatch' END AS status FROM met
+)
+SELECT record_id, url_key, response_id, response_time, status,
+  CASE WHEN status IN ('resolved', 'unchecked') THEN '{{"content-type":"text/html","date":"' || time || '","etag":"'
+    || CASE WHEN digest IS NULL THEN '' ELSE 'W/' END || '\"' || substr(CASE WHEN digest IS NULL THEN old ELSE digest END, 1, 16) || '\""}}' END AS headers
+FROM said
+"""
