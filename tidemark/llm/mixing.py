@@ -6,9 +6,15 @@ probability) moves from one to the other, in a direction drawn so that expectati
 is at 0 or 1; the other goes on to meet the next. Since mass is only moved, what a source takes differs from
 its target by the one document that is left at the end.
 
-The pairs form a tree. Documents of a source are dealt by a hash into chunks of about ``FAN`` (a source with a
-third of all rows just has more chunks), each chunk is folded, largest documents first, so that what is left
-over tends to be small, and sends on one residual; ``FAN`` neighbouring chunks make one chunk of the level
+Long documents come first, as one that is left over would miss the target by its length: those above ``LONG`` of
+their source's target and ``SOME`` of its words, so at most 1 / ``SOME`` of a source. In order of size each is paired
+with all that is undecided, as one unit: the document becomes integral, by its probability, and the others' probability
+takes what it leaves, so expectations stay. Where that could bring the others under 0 or over ``MOST`` copies, as
+it is only where little is left beside it, the document stays undecided and goes to the tree.
+
+The other documents' pairs form a tree. Documents of a source are dealt by a hash into chunks of about ``FAN`` (a
+source with a third of all rows just has more chunks), each chunk is folded, largest documents first, so that what is
+left over tends to be small, and sends on one residual; ``FAN`` neighbouring chunks make one chunk of the level
 above, up to a single residual for the source. It tends to be a large document; so about ``CLOSE`` documents of
 all sizes are kept back from the tree, and it meets them last, in order of size, until a small one is left,
 which is drawn by its probability. Levels are written to the shared folder: log(rows) / log(FAN) of them, each
@@ -33,6 +39,8 @@ from . import common
 FAN, SEED = 64, 20
 #: About so many documents of a source, drawn by hash, meet what its tree leaves over.
 CLOSE = 512
+#: Shares of a source's target and of its words from which on a document is long.
+LONG, SOME = 0.005, 0.001
 #: A word of the contract.
 WORD = r"[^\x20\x09-\x0D]+"
 #: No document is taken more often.
@@ -120,6 +128,28 @@ def rounded(units: DataFrame, most: int) -> DataFrame:
     return got
 
 
+def _long(units: DataFrame) -> DataFrame:
+    """One row (key, rest_target, rest_size, met) for each source with long documents; ``met``: these, ``taken`` null if undecided.
+
+    ``units``: key, size, draw, doc_id, times and the source's target and source_size.
+    """
+
+    def step(state: Column, u: Column) -> Column:
+        size, left = u["size"].cast("double"), (state["size"] - u["size"]).cast("double")
+        ratio = state["target"] / state["size"]
+        low = F.floor(ratio)
+        copies = low + (_uniform(u["draw"], F.lit(-2)) < ratio - low).cast("long")
+        # either way the others must be able to make up for it
+        fits = (state["target"] - low * size <= MOST * left) & (state["target"] - (low + (ratio > low).cast("long")) * size >= 0)
+        met = F.struct(*(u[x].alias(x) for x in ("doc_id", "size", "draw", "times")), F.when(fits, copies * u["size"]).cast("long").alias("taken"))
+        return F.struct(F.when(fits, state["target"] - copies * size).otherwise(state["target"]).alias("target"), F.when(fits, state["size"] - u["size"]).otherwise(state["size"]).alias("size"), F.concat(state["met"], F.array(met)).alias("met"))
+
+    listed = units.groupBy("key", "target", "source_size").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("order"), "draw", "doc_id", "times", "size"))).alias("units"))
+    none = F.slice(F.transform("units", lambda x: F.struct(*(x[y].alias(y) for y in ("doc_id", "size", "draw", "times")), F.lit(None).cast("long").alias("taken"))), 1, 0)
+    zero = F.struct(F.col("target").cast("double").alias("target"), F.col("source_size").cast("long").alias("size"), none.alias("met"))
+    return listed.select("key", F.aggregate("units", zero, step).alias("f")).select("key", F.col("f.target").alias("rest_target"), F.col("f.size").alias("rest_size"), "f.met")
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Rows (doc_id, source, size, source_size, target, taken), one for each row of ``docs``."""
     size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
@@ -128,14 +158,27 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rows = common.cut(docs.select(F.col(doc_id).alias("doc_id"), size.alias("size"), key.alias("key")))
     sources = common.cut(targets(rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))))
     known, most = sources.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
-    near = F.broadcast(sources) if known <= BROADCAST_SOURCES else sources
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    sent = (lambda x: F.broadcast(x)) if known <= BROADCAST_SOURCES else (lambda x: x)
     # repeated rows are counted and told apart by number, so that draws don't depend on how rows are dealt out
     same = rows.groupBy("key", "doc_id", "size").agg(F.count("*").alias("c")).select("key", "doc_id", "size", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("times"))
-    units = same.join(near, "key").withColumn("p", ratio - F.floor(ratio)).withColumn("draw", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "times", "size", "key", F.lit(SEED)))
-    drawn = rounded(units.where("p > 0 and size > 0").select("key", "n", "size", "draw", "doc_id", "times", "p"), most).select("key", "doc_id", "size", "p")
-    plain = units.where("not (p > 0 and size > 0)").select("key", "doc_id", "size", F.lit(0.0).alias("p"))
-    got = drawn.unionByName(plain).join(near, "key").withColumn("taken", (F.col("size") * (F.floor(ratio) + F.col("p"))).cast("long"))
+    draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "times", "size", "key", F.lit(SEED))
+    is_long = (F.col("size") > LONG * F.col("target")) & (F.col("size") > SOME * F.col("source_size"))
+    units = same.withColumn("draw", draw)
+    ends = common.cut(_long(units.join(sent(sources), "key").where(is_long)))
+    # what is left of a source for its other documents
+    rest = F.coalesce("rest_size", "source_size")
+    ratio = F.when(rest > 0, F.greatest(F.least(F.coalesce("rest_target", "target") / rest, F.lit(float(MOST))), F.lit(0.0))).otherwise(F.lit(0.0))
+    left = common.cut(sources.join(ends.drop("met"), "key", "left").withColumn("ratio", ratio).drop("rest_target", "rest_size"))
+    met = ends.select("key", F.explode("met").alias("u")).select("key", "u.*")
+    names = ("key", "doc_id", "size", "draw", "times")
+    near = sources.select("key", "target", "source_size")
+    short = units.join(sent(near), "key").where(~is_long).select(*names).unionByName(met.where("taken is null").select(*names))
+    short = short.join(sent(left), "key").withColumn("p", F.col("ratio") - F.floor("ratio"))
+    decide = (F.col("p") > 0) & (F.col("size") > 0)
+    drawn = rounded(short.where(decide).select("key", "n", "size", "draw", "doc_id", "times", "p"), most).select("key", "doc_id", "size", "p")
+    plain = short.where(~decide).select("key", "doc_id", "size", F.lit(0.0).alias("p"))
+    got = drawn.unionByName(plain).join(sent(left), "key").select("key", "doc_id", "size", "source_size", "target", (F.col("size") * (F.floor("ratio") + F.col("p"))).cast("long").alias("taken"))
+    got = got.unionByName(met.where("taken is not null").join(sent(near), "key").select(*got.columns))
     return got.select("doc_id", F.when(F.col("key") != "b", F.substring("key", 2, 1 << 30)).alias("source"), "size", "source_size", "target", "taken")
 
 
