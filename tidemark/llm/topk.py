@@ -12,7 +12,8 @@ over (query, task group) and then over the query keeps k of them.
 Defined cases: vectors that are null, empty or hold null or non-finite numbers take no part. Ties go to the
 smaller id. Rows without an id take no part. A repeated row counts as often as it occurs among candidates, never
 for its own id; a query id on several rows asks once, with the row that sorts first. Vectors of another length
-than the query's are no candidates.
+than the query's are no candidates. Where the product of two vectors' norms reaches 2**62 a score might not fit into
+64 bits, and the job fails with an error that says so.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ from . import common
 
 K, STEP, ROWS, QUERIES = 10, 16, 4096, 4096
 
+#: Bound on the product of two vectors' norms, below which sums of 64-bit numbers are exact.
+MOST_SCORE = 2.0**62
+
 
 def whole(vector: Column) -> Column:
     """floor(1024 x) of each component as long, or null if the vector can't take part."""
@@ -50,6 +54,8 @@ def search(ids: np.ndarray, columns: np.ndarray, queries: tuple[np.ndarray, np.n
     for n in range(len(q_ids)):
         scores, found = best.get(n, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
         floor = scores[-1] if len(scores) == k else None
+        if len(ids) and rest[0].max() * q_rest[0, n] >= MOST_SCORE:
+            raise OverflowError(f"the inner products of vector {q_ids[n]} don't fit into 64 bits")
         live, part = np.flatnonzero(ids != q_ids[n]), None
         for step, at in enumerate(range(0, len(q), STEP)):
             block = columns[at : at + STEP]
