@@ -264,6 +264,25 @@ def test_language_mixture_and_odd_rows(spark, texts):
     assert langid.fit(documents(spark, []))[0] == [] and langid.infer([], np.zeros((1, 0)), "x") == ("und", 0.0, "")
 
 
+def test_shares_against_a_grid():
+    """EM finds the likeliest shares, and the chosen set has the highest penalised likelihood of all sets."""
+    from itertools import combinations, product
+
+    rng = np.random.default_rng(31)
+    for _ in range(25):
+        table = rng.dirichlet(np.full(60, 0.3), 3).T.astype(np.float32) + 1e-6
+        truth = rng.choice([[1, 0, 0], [0.5, 0.5, 0], [0.3, 0, 0.7], [0.3, 0.3, 0.4]])
+        counts = rng.multinomial(600, (table @ truth) / (table @ truth).sum()).astype(np.float32)
+        value = lambda share: float(counts @ np.log(np.maximum(table @ np.asarray(share), 1e-30)))
+        share, found = langid.proportions(table, counts, np.full(3, 1 / 3, np.float32), 200)
+        grid = [(a / 20, b / 20, 1 - a / 20 - b / 20) for a, b in product(range(21), repeat=2) if a + b <= 20]
+        assert found == pytest.approx(value(share), rel=1e-3) and found >= max(map(value, grid)) - 0.5
+        cost = lambda n: langid.PENALTY * (n - 1) * np.log(counts.sum() + 1)
+        sets = {s: langid.proportions(table, counts, np.array([(k in s) / len(s) for k in range(3)], np.float32), 200)[1] - cost(len(s)) for n in (1, 2, 3) for s in combinations(range(3), n)}
+        chosen = langid.choose(table, counts, langid.proportions(table, counts, np.full(3, 1 / 3, np.float32), langid.STEPS)[0])
+        assert sets[tuple(np.flatnonzero(chosen).tolist())] == pytest.approx(max(sets.values()), abs=0.5)
+
+
 # 6
 
 
@@ -430,8 +449,30 @@ def test_tiling_against_plain():
                 for k in range(at, at + n):
                     side[k] += 1
         assert max(*free[0], *free[1]) <= 1
-        want = _plain_tiles(doc, item, 3)
-        assert (max((n for *_, n in got), default=0) == max(want, default=0)) and (not want) == (not got)
+        assert sorted(n for *_, n in got) == sorted(_plain_tiles(doc, item, 3))
+
+
+def test_matches_against_plain_tiles():
+    """Items found, tiles and coverage of reordered, cut and broken passages, from all tiles of all items."""
+    rng = random.Random(19)
+    items = [(k, [f"i{rng.randrange(400)}" for _ in range(rng.choice([2, 4, 8, 20, 45]))]) for k in range(25)]
+    index, seen = decontam.Index([(k, " ".join(x)) for k, x in items]), 0
+    for _ in range(60):
+        doc = [f"f{rng.randrange(10**6)}" for _ in range(15)]
+        for _, x in rng.sample(items, 3):
+            at = rng.randrange(len(x))
+            doc += [*x[at:], "and", *x[:at]] if rng.random() < 0.6 else [w if rng.random() > 0.1 else "gone" for w in x]
+        number = {w: i + 1 for i, w in enumerate(sorted({*doc, *(w for _, x in items for w in x)}))}
+        want = []
+        for k, x in items:
+            line, text = [number[w] for w in x], [number[w] for w in doc]
+            tiles = _plain_tiles(text, line, min(decontam.LEAST, len(x)))
+            covered = sum(tiles) if len(x) >= decontam.LEAST else max([n for n in tiles if n == len(x)], default=0)
+            if covered >= 0.5 * len(x):
+                want.append((k, len(tiles) if len(x) >= decontam.LEAST else 1, covered, covered / len(x)))
+                seen += len(tiles) > 1
+        assert [(r["item_id"], r["n_tiles"], r["covered"], r["coverage"]) for r in index.match(" ".join(doc))] == want
+    assert seen > 10
 
 
 def test_decontamination(spark):
@@ -443,7 +484,9 @@ def test_decontamination(spark):
     docs = documents(spark, [(*r, "en", "a") for r in rows])
     got = sorted((r.doc_id or -1, r.item_id, r.n_tiles) for r in decontam.contaminated(docs, bench).collect())
     assert [(d, i) for d, i, _ in got] == [(-1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (5, 1), (6, 1)] and (2, 1, 2) in got
-    assert not decontam.contaminated(docs, bench.where("item_id = 2")).count() and not decontam.contaminated(docs.limit(0), bench).count()
+    assert not decontam.contaminated(docs, bench.where("item_id = 2")).count()
+    some = documents(spark, [(1, "It is, too short!", "en", "a"), (2, "too long and short", "en", "a")])
+    assert [tuple(r) for r in decontam.contaminated(some, bench).collect()] == [(1, 2, 1, 2, 2, 1.0)] and not decontam.contaminated(docs.limit(0), bench).count()
 
 
 def test_decontamination_in_blocks(spark, monkeypatch):
@@ -494,6 +537,47 @@ def test_toxicity(spark):
     assert sum(r.predicted for r in held) >= 0.5 * len(held)
 
 
+def test_weights_and_scores_against_counting(spark):
+    """Weights by plain counts over labelled documents, one of each group of copies, in the two passes; scores by the highest."""
+    rng, noise = random.Random(14), [f"word{i}" for i in range(30)]
+    text = lambda bad: " ".join(rng.choices(noise, k=12) + ([rng.choice(["grobian", "lumpen"]), rng.choice(["hund", "sau"])] if bad else []))
+    rows = [(i, text(i % 3 == 0)) for i in range(240)] + [(500 + i, "lumpen word1 word2 word3 word4 grobian again") for i in range(9)] + [(900, None), (901, "")]
+    toxic = {i: int(i % 3 == 0 or i >= 500) for i, _ in rows if i != 3}
+    learned = {r.i for r in spark.createDataFrame([(i,) for i, _ in rows], "i long").where(~common.held_out(F.col("i"))).collect()} & toxic.keys()
+    one = {}
+    for i, t in sorted(rows):
+        if i in learned:
+            h = simhash.shingle_hashes(t, 5)
+            one.setdefault((int(h.min().view(np.int64)) if len(h) else 0, toxic[i]), (t, toxic[i]))
+
+    def weights(skip):
+        n, bad = defaultdict(int), defaultdict(int)
+        for t, y in one.values():
+            had = toxicity.features({toxicity.bare(w) for w in (t or "").lower().split()})
+            if not had & skip:
+                for f in had:
+                    n[f] += 1
+                    bad[f] += y
+        z, out = toxicity.Z, {}
+        for f in n:
+            p = bad[f] / n[f]
+            low = (p + z * z / (2 * n[f]) - z * (p * (1 - p) / n[f] + z * z / (4 * n[f] ** 2)) ** 0.5) / (1 + z * z / n[f])
+            if low >= toxicity.LEAST:
+                out[f] = low
+                assert bad[f] >= 2
+        return out
+
+    first = weights(set())
+    strong = {f: w for f, w in first.items() if w >= toxicity.STRONG * max(first.values())}
+    want = strong | {f: w for f, w in weights(strong.keys()).items() if f not in strong}
+    model = toxicity.fit(documents(spark, [(i, t, "en", "a") for i, t in rows]), spark.createDataFrame([(i, 1, y) for i, y in toxic.items()], "doc_id long, quality int, toxic int"))
+    assert model.weights == pytest.approx(want) and len(want) > 5
+    base = min(toxicity.MOST_BASE, sum(y for _, y in one.values()) / len(one))
+    for _, t in rows:
+        had = {f for reading in toxicity.Reader(model.lm).words(t) for f in toxicity.features(reading)}
+        assert model.score(t) == pytest.approx(max([base, *(want[f] for f in had if f in want)]))
+
+
 def test_deobfuscation(spark, texts):
     docs = [(i, "you are an idiot and a loser" if i % 5 == 0 else "the end of all that was here", "en", "a") for i in range(200)]
     labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)] + [(3, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")

@@ -162,6 +162,28 @@ def test_odd_rows_go_through(spark):
     assert decontam.stage(spark, docs, SF).count() == len(rows) and mixing.stage(spark, docs, SF).count() == len(rows)
 
 
+def test_stages_of_nothing(spark, tmp_path):
+    docs = common.table(spark, SF, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert not out.count() and (name == "mixing" or out.columns == docs.columns)
+    for t in ("documents", "labels", "benchmark"):  # nor do empty tables beside them stop it
+        common.table(spark, SF, t).limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert not corpus_pipeline.run(spark, str(tmp_path)).count()
+
+
+def test_entry_without_what_the_corpus_needs():
+    """A module that is missing takes the corpus operators away, and nothing else."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    code = "import sys; sys.modules['tiktoken'] = None; import __spark_entry__ as e; assert len(e.queries()) > 30 and 'pipeline' not in e.queries()"
+    run = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=repo, capture_output=True, text=True, timeout=120)
+    assert not run.returncode, run.stderr
+
+
 def test_entry_without_corpus(tmp_path):
     import os
     import shutil

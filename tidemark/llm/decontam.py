@@ -7,11 +7,13 @@ item's words under tiles is its coverage, whatever the order of the tiles, so re
 From ``COVERAGE`` on, the document is contaminated by the item.
 
 The benchmark is a stated set: its words and seeds go to the executors in blocks of at most ``BLOCK_CHARS``
-characters (its size is asked for first), and all documents meet each block once. Documents are never shuffled,
+characters (its size is asked for first), and all documents meet each block once; of several blocks each one's
+results are written before the next is read, so the driver holds one. Documents are never shuffled,
 and a document's work is bounded by its own length and the items whose seeds it holds.
 
-Defined cases: null and empty texts share nothing. Items of fewer than ``LEAST`` words cannot be told from
-chance and give no result. Repeated documents give repeated rows; repeated items with one id give one row, the
+Defined cases: null and empty texts share nothing, and items without a word are not found. An item of fewer than
+``LEAST`` words is found where all of it stands in one piece; the pipeline's stage leaves such items out, as they
+can't be told from chance. Repeated documents give repeated rows; repeated items with one id give one row, the
 highest coverage. Items without an id are searched, and reported with a null id.
 """
 
@@ -113,12 +115,16 @@ def tile(doc: list[int], item: list[int], least: int = LEAST) -> list[tuple[int,
 class Index:
     """Words and seeds of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], least: int = LEAST) -> None:
+    def __init__(self, items: list[tuple[int | None, str | None]], least: int = LEAST, short: bool = True) -> None:
+        """``short``: also items of fewer than ``least`` words, whole."""
         self.least, self.ids, self.items, self.number = least, [], [], {}
+        self.short: dict[tuple[int, ...], list[int | None]] = defaultdict(list)
         seeds, owners = [], []
         for item_id, text in items:
             found = words(text)
             if len(found) < least:
+                if found and short:
+                    self.short[tuple(self.number.setdefault(w, len(self.number) + 1) for w in found)].append(item_id)
                 continue
             line = [self.number.setdefault(w, len(self.number) + 1) for w in found]
             h = np.unique(hashes(np.array(line, np.uint64), least))
@@ -133,21 +139,31 @@ class Index:
     def match(self, text: str | None, coverage: float = COVERAGE) -> list[dict]:
         get = self.number.get
         ids = np.array([get(w, 0) for w in words(text)], np.uint64)
+        best: dict[int | None, dict] = {}
+        self._match(ids, coverage, best)
+        if self.short:
+            line = ids.tolist()
+            for width in {len(x) for x in self.short}:
+                for x in {tuple(line[i : i + width]) for i in range(len(line) - width + 1)} & self.short.keys():
+                    best |= {i: {"item_id": i, "n_tiles": 1, "covered": width, "item_words": width, "coverage": 1.0} for i in self.short[x] if best.get(i, {"coverage": 0})["coverage"] < 1}
+        return [best[k] for k in sorted(best, key=lambda x: (x is None, x or 0))]
+
+    def _match(self, ids: np.ndarray, coverage: float, best: dict[int | None, dict]) -> None:
+        """Items of ``least`` words or more."""
         if len(ids) < self.least or not len(self.seeds):
-            return []
+            return
         known = np.convolve(ids == 0, np.ones(self.least, np.int64), "valid") == 0
         at = np.flatnonzero(known)
         if not len(at):
-            return []
+            return
         h = hashes(ids, self.least)[at]
         lo, hi = np.searchsorted(self.seeds, h), np.searchsorted(self.seeds, h, "right")
         hit = hi > lo
         if not hit.any():
-            return []
+            return
         at, lo, hi = at[hit], lo[hit], hi[hit]
         owner = np.concatenate([self.owners[a:b] for a, b in zip(lo, hi, strict=True)])
         start = np.repeat(at, hi - lo)
-        best: dict[int | None, dict] = {}
         for item in np.unique(owner):
             line = self.items[item]
             mine = np.zeros(len(ids) + 1, np.int64)
@@ -167,7 +183,6 @@ class Index:
             covered = sum(n for *_, n in tiles)
             if covered >= coverage * len(line) and covered > best.get(self.ids[item], {"covered": -1})["covered"]:
                 best[self.ids[item]] = {"item_id": self.ids[item], "n_tiles": len(tiles), "covered": covered, "item_words": len(line), "coverage": covered / len(line)}
-        return [best[k] for k in sorted(best, key=lambda x: (x is None, x or 0))]
 
 
 def matcher(index: Index, text: Column, coverage: float = COVERAGE) -> Column:
@@ -180,21 +195,22 @@ def matcher(index: Index, text: Column, coverage: float = COVERAGE) -> Column:
     return tiled(text)
 
 
-def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[Index]:
-    """The benchmark in blocks of a bounded number of characters, dealt by a hash."""
+def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", short: bool = True) -> Iterator[tuple[Index, bool]]:
+    """The benchmark in blocks of a bounded number of characters, dealt by a hash of ids; and whether there are several."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-chars // BLOCK_CHARS) or 1
     for k in range(parts):
-        block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else rows
-        yield Index([tuple(x) for x in block.collect()])
+        block = rows.where(F.pmod(F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.col("text"))), F.lit(parts)) == k) if parts > 1 else rows
+        yield Index([tuple(x) for x in block.collect()], short=short), parts > 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, item_id, n_tiles, covered, item_words, coverage): documents and items from ``COVERAGE`` on."""
     out = None
-    for index in blocks(benchmark):
+    for index, several in blocks(benchmark):
         found = docs.select(F.col(doc_id).alias("doc_id"), matcher(index, F.col(text).cast("string")).alias("m")).select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
+        found = common.cut(found) if several else found
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -205,7 +221,12 @@ def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents."""
-    for index in blocks(common.table(spark, sf_dir, "benchmark")):
-        docs = docs.where(F.size(matcher(index, F.col("text"))) == 0)
+    """Drops contaminated documents; all others keep all their columns.
+
+    Null and empty texts stay. Repeated rows and rows of one id go by their own text. A text is held whole by one task.
+    Items of under ``LEAST`` words are not looked for. Empty tables give empty tables.
+    """
+    for index, several in blocks(common.table(spark, sf_dir, "benchmark"), short=False):
+        docs = docs.where(F.size(matcher(index, F.col("text").cast("string"))) == 0)
+        docs = common.cut(docs) if several else docs
     return docs

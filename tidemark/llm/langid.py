@@ -155,7 +155,12 @@ STAGE_SHARE = 0.5
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that have a main language: not ``und``, and a share of ``STAGE_SHARE`` or more."""
+    """Keeps documents that have a main language: not ``und``, and a share of ``STAGE_SHARE`` or more; with all their columns.
+
+    Null and empty texts and those without a letter go. Repeated rows and rows of one id go by their own text; rows
+    without an id are learned from. A text is held whole by one task. Empty tables give empty tables; where there is
+    nothing to learn from, nothing has a language.
+    """
     model = fit(docs.where(~common.held_out(F.col("doc_id"))))
     tag = "__tidemark_language"
     return docs.withColumn(tag, identify(model, F.col("text"))).where((F.col(f"{tag}.lang") != "und") & (F.col(f"{tag}.score") >= STAGE_SHARE)).drop(tag)

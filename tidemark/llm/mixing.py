@@ -188,5 +188,9 @@ def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of what is left: a row for each document, with the words to take of it."""
+    """The mix of what is left: a row for each document, with the words to take of it.
+
+    Null and empty texts have size 0 and are not taken. Sources that are null are one source. Repeated rows are drawn
+    each by themselves; extra columns are not read. Empty tables give empty tables.
+    """
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")

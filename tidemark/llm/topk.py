@@ -113,6 +113,7 @@ def top_k(vectors: DataFrame, asks: Column, vec_id: str = "vec_id", vector: str
     for part in range(parts):  # blocks by hash: one pass over all candidates for each
         block = stated if parts == 1 else stated.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part)
         found = _nearest(rows.select("vec_id", "v"), [(x.vec_id, x.v) for x in block.collect()], k)
+        found = common.cut(found) if parts > 1 else found  # the driver holds one block
         out = found if out is None else out.unionByName(found)
     # a query's rows first meet by group of tasks, so that many tasks don't all send to one
     order = (F.desc("score"), "vec_id")

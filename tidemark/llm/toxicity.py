@@ -302,6 +302,7 @@ def _counted(known: DataFrame, skip: Model | None) -> tuple[dict[str, float], fl
             part = found[at : at + 10_000]
             yield rows([None] * len(part), part, [0] * len(part), grams[part].tolist())
 
+    # features of fewer than two toxic documents have a weight under LEAST whatever else they are in
     counts = common.cut(known.mapInArrow(count, "feature string, gram int, toxic long, n long").groupBy("feature", "gram").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).where("feature is null or feature = '' or toxic >= 2"))
     z = Z * Z
     p, n = F.col("toxic") / F.col("n"), F.col("n")
@@ -335,6 +336,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose score is under ``THRESHOLD``."""
+    """Keeps documents whose score is under ``THRESHOLD``, with all their columns.
+
+    Null and empty texts have the base rate and stay. Repeated rows and rows of one id are each scored by their own
+    text; labels go by id, so rows without one are scored but not learned from. A text is held whole by one task. Empty
+    tables give empty tables, and without labels all documents stay.
+    """
     model = fit(docs, common.table(spark, sf_dir, "labels"))
     return docs.where(toxicity(model, F.col("text")) < THRESHOLD)
