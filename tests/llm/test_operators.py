@@ -73,6 +73,40 @@ def test_licence_templates():
     assert scan("the of and under license")["labels"] == "" and scan(None)["score"] == 0
 
 
+def _common(a, b):
+    """Length of the longest common subsequence."""
+    most = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            most[i + 1][j + 1] = most[i][j] + 1 if x == y else max(most[i][j + 1], most[i + 1][j])
+    return most[-1][-1]
+
+
+def test_planted_notices():
+    """Every template is found where it stands, also with words changed, and nothing else is where none stands."""
+    scanner, rng = licences.Scanner(), random.Random(17)
+    fill = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    for label, texts in licences.TEMPLATES.items():
+        for text in texts:
+            line = [w.decode() for w in licences.words(text)]
+            if len(line) < 12:
+                continue
+            for changed in (0, 1, 2):
+                broken = list(line)
+                for i in rng.sample(range(len(line)), changed):
+                    broken[i] = fill(1)[0]
+                before = fill(rng.randrange(30))
+                got = scanner.scan(" ".join([*before, *broken, *fill(rng.randrange(30))]))
+                spans = [s for s in got["spans"] if s["label"] == label]
+                if not changed:
+                    assert (label, len(before), len(before) + len(line)) in {(s["label"], s["start"], s["stop"]) for s in spans}, text
+                    assert got["score"] == pytest.approx(1)
+                for s in spans:  # what a span claims is there: so many words of one of the label's templates, in its order
+                    there = [*before, *broken][s["start"] : s["stop"]]
+                    assert any(s["covered"] * len(other) <= _common(there, other) + 1e-6 for other in ([w.decode() for w in licences.words(x)] for x in texts))
+    assert all(scanner.scan(" ".join(fill(300)))["labels"] == "" for _ in range(20))
+
+
 # 2
 
 
