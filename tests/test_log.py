@@ -322,6 +322,17 @@ def test_folds_answer_as_commits_do(spark, store):
     assert look() == later and Store(spark, store.path).version() == 9
 
 
+def test_flush_and_sizes(store):
+    store.upsert("s", "t", "x" * 100, "long")
+    store.upsert("s", "t", 1, "r")
+    store.delete("s", "t", "r")
+    assert [tuple(r) for r in store.sizes().collect()] == [("s", "t", 3, 1, 3, 4 + 102 + 64 + 64)]
+    assert store.flush(4) == 0 and store.flush(3) == 3 and store.flush(1) == 3
+    store.upsert("s", "t", 2, "r")
+    assert store.flush(9, 10**6) == 3 and store.flush(9, 0) == 4
+    assert store.snapshot("s", "t").count() == 2 and store.log().count() == 4
+
+
 def test_recovery_and_rebuild(spark, store):
     for i in range(4):
         store.upsert("s", "t", {"i": i}, f"r{i % 2}")

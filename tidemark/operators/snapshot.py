@@ -106,3 +106,13 @@ def manifest(log: DataFrame, shard: Column | int = 32) -> DataFrame:
     return log.groupBy("space", "table_name", shard.cast("int").alias("shard")).agg(
         F.min("record_id").alias("key_min"), F.max("record_id").alias("key_max"), F.min("commit_version").alias("version_min"), F.max("commit_version").alias("version_max"), F.count("*").alias("n_rows")
     )
+
+
+#: An entry counts as so many bytes at least.
+ENTRY_BYTES = 64
+
+
+def sizes(log: DataFrame) -> DataFrame:
+    """(space, table_name, n_rows, version_min, version_max, bytes) of each table; bytes by identifiers and bodies."""
+    used = F.octet_length("record_id") + F.coalesce(F.octet_length("body"), F.lit(0))
+    return log.groupBy("space", "table_name").agg(F.count("*").alias("n_rows"), F.min("commit_version").alias("version_min"), F.max("commit_version").alias("version_max"), F.sum(F.greatest(F.lit(ENTRY_BYTES), used)).cast("long").alias("bytes"))

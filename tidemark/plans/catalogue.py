@@ -374,6 +374,15 @@ def schema_listing_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.latest(log, *_tenths(log, 6)).select("name", F.col("version").cast("long").alias("version"), "commit_version").orderBy("name")
 
 
+@_query("SELECT event_id, event_id % 5 = 0 AS eq_whole, event_id % 5 = 1 AS eq_fraction, event_id % 5 = 2 AS eq_text, event_id % 5 = 3 AS eq_null, event_id % 5 <> 0 AS ne_whole, event_id % 5 <= 2 AS ge_whole, event_id % 5 = 3 AS lt_whole, event_id % 5 = 2 AS has_text FROM events")
+def mixed_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One path with whole numbers, fractions, text, null, or nothing there."""
+    kinds = F.array(*map(F.lit, ['{"n":1}', '{"n":1.0}', '{"n":"1"}', '{"n":null}', '{"m":1}']))
+    rows = table(spark, sf_dir, "events").select("event_id", F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int")).alias("body"))
+    filters = {"eq_whole": ("eq", 1), "eq_fraction": ("eq", 1.0), "eq_text": ("eq", "1"), "eq_null": ("eq", None), "ne_whole": ("ne", 1), "ge_whole": ("ge", 1), "lt_whole": ("lt", 1), "has_text": ("contains", "1")}
+    return rows.select("event_id", *(Filter(op, "n", x).column(F.col("body")).alias(name) for name, (op, x) in filters.items()))
+
+
 @_query("SELECT event_id FROM events WHERE value > 50")
 def json_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a key that a body has twice the last counts."""
