@@ -322,6 +322,15 @@ def test_folds_answer_as_commits_do(spark, store):
     assert look() == later and Store(spark, store.path).version() == 9
 
 
+def test_reads_of_a_record_pass_by_other_commits(spark, store):
+    for i in range(5):
+        store.upsert("s", "t", i, f"r{i % 2}")
+    store.upsert_many("s", "t", batch(spark, r0="batch"))
+    files = lambda r: len(store.log(None, "s", "t", record_id=r).inputFiles())
+    assert files("r1") == 3 and files("r0") == 4 and files("none") == 1  # a batch doesn't say
+    assert [store.get("s", "t", r, at) for r in ("r0", "r1", "none") for at in (2, 5, 6)] == [0, 4, "batch", 1, 3, 3, None, None, None]
+
+
 def test_flush_and_sizes(store):
     store.upsert("s", "t", "x" * 100, "long")
     store.upsert("s", "t", 1, "r")

@@ -19,11 +19,16 @@ from . import jsonvalue
 RANKS = {"VOID": 1, "BOOLEAN": 2, "number": 3, "STRING": 4, "ARRAY": 5, "OBJECT": 6}
 
 
+def last_key_counts(session: SparkSession) -> None:
+    """Have VARIANT keep the last of a key that is there twice. A setting of the session, which streams' sessions inherit."""
+    session.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def document(body: Column) -> Column:
-    """VARIANT of JSON text; null where it isn't JSON. Of a key that is there twice the last counts, which is a setting of the session."""
+    """VARIANT of JSON text; null where it isn't JSON. Sets :func:`last_key_counts` in the session."""
     session = SparkSession.getActiveSession()
     if session is not None:
-        session.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+        last_key_counts(session)
     return F.try_parse_json(body)
 
 
