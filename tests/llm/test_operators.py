@@ -358,6 +358,17 @@ def test_mixing(spark, monkeypatch, close):
     assert order(again) == order(got)
 
 
+def test_targets_in_ranges(spark, monkeypatch):
+    """Sums over ranges of sources give the targets that a plain reading of the rule does."""
+    rng = random.Random(16)
+    sizes = {f"a{rng.randrange(10**9)}": int(rng.lognormvariate(4, 2.5)) for _ in range(300)}
+    rows = spark.createDataFrame([(k, n, 1) for k, n in sizes.items()], "key string, source_size long, n long").repartition(7)
+    for most in (10_000, 20):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
+        assert {r.key: r.target for r in mixing.targets(rows).collect()} == pytest.approx(_water(sizes))
+    assert not mixing.targets(rows.limit(0)).count()
+
+
 def test_mixing_draws_are_fair(spark, monkeypatch):
     """Over many seeds each document is taken as often as its probability says."""
     rows = [(i, "w " * n, "en", s) for s, k in (("a", 0), ("b", 100)) for i, n in enumerate([1, 2, 3, 5, 8, 13, 21], k)]

@@ -49,20 +49,37 @@ MOST = 3
 BROADCAST_SOURCES = 10_000
 
 
+def _before(rows: DataFrame, order: list[Column], sums: dict[str, Column], many: bool) -> DataFrame:
+    """Add sums over the rows before each in an order: within ranges of it if there are ``many`` rows, and over the ranges' sums."""
+    part = F.spark_partition_id() if many else F.lit(0)
+    rows = rows.repartitionByRange(*order) if many else rows
+    rows = common.cut(rows.withColumn("part", part)) if many else rows.withColumn("part", part)
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    got = rows.select("*", *(F.coalesce(F.sum(x).over(inside), F.lit(0)).alias(name) for name, x in sums.items()))
+    if not many:
+        return got.drop("part")
+    ranges = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    whole = rows.groupBy("part").agg(*(F.sum(x).alias(name) for name, x in sums.items()))
+    whole = whole.select("part", *(F.coalesce(F.sum(name).over(ranges), F.lit(0)).alias(f"{name}_ranges") for name in sums))
+    got = got.join(F.broadcast(whole), "part")
+    return got.select(*rows.drop("part").columns, *((F.col(name) + F.col(f"{name}_ranges")).alias(name) for name in sums))
+
+
 def targets(sources: DataFrame) -> DataFrame:
-    """Add ``target`` to rows (key, source_size): shares by the repeating weights 1, 2, 3 in order of key.
+    """Add ``target`` to rows (key, source_size, n): shares by the repeating weights 1, 2, 3 in order of key.
 
     Targets stop at ``MOST`` x the source's size. In order of limit / weight, the sources that stop come first:
-    one stops if its share of what those before it leave is above its limit. One row for each source.
+    one stops if its share of what those before it leave is above its limit. One row for each source; over
+    ``BROADCAST_SOURCES`` of them are summed in ranges.
     """
-    w = sources.withColumn("w", (F.row_number().over(Window.orderBy("key")) - 1) % 3 + 1).withColumn("cap", MOST * F.col("source_size"))
-    before = Window.orderBy(F.col("cap") / F.col("w"), "key").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0)))
+    many = sources.count() > BROADCAST_SOURCES
+    w = _before(sources, [F.col("key")], {"rank": F.lit(1)}, many).withColumn("w", F.col("rank") % 3 + 1).withColumn("cap", MOST * F.col("source_size")).drop("rank")
+    w = common.cut(_before(w, [F.col("cap") / F.col("w"), F.col("key")], {"cap_before": F.col("cap"), "w_before": F.col("w")}, many))
+    size, weight = w.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    left = (size - F.col("cap_before")) / (weight - F.col("w_before"))
     full = w.withColumn("full", left * F.col("w") > F.col("cap"))
-    rest = F.sum(F.when(~F.col("full"), F.col("w"))).over(every)
-    words = F.sum("source_size").over(every) - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(every), F.lit(0))
-    share = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(words * F.col("w") / rest)
+    rest, words = full.agg(F.sum(F.when(~F.col("full"), F.col("w"))), size - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))), F.lit(0))).first()
+    share = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.lit(float(words)) * F.col("w") / F.lit(float(rest or 1)))
     return full.select("key", "source_size", "n", F.least(share, F.col("cap").cast("double")).alias("target"))
 
 
