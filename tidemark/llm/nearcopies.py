@@ -17,7 +17,7 @@ exact join finds those, without caps, samples or rounds:
    links: texts reached drop out, so what it returns grows with its texts. For a group of several chunks each also gets
    the group's ``HUBS`` texts; then only texts outside the group's largest component are compared with all chunks.
 
-A task holds two chunks at most, or one text and a chunk. Nothing is collected to the driver.
+A task holds two chunks at most, or a chunk and ``HUBS`` texts. Nothing is collected to the driver.
 
 Sets and rows are told apart by 64-bit hashes.
 """
